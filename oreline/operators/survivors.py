@@ -1,0 +1,141 @@
+"""One surviving record for each group of duplicate records.
+
+The representative row of a group is chosen by completeness, time, confidence and id. The surviving
+*values* are chosen field by field with currency reasoning: from all groups with timestamps the engine learns
+which value usually follows which (``value_transitions``); the learned precedences form a partial order
+(cycles collapse to one level), and where rows of a group have no timestamp the topologically latest value
+among the dated latest one and the undated ones is taken.
+
+Scale: groups are never collected. Every choice is a maximum over a struct, which Spark combines on the map side, so
+a group with a third of all rows is reduced before the shuffle. Transitions are learned from the
+distinct values of a group, never from pairs of rows; the learned table holds at most ``MAX_VALUES`` values a
+field and is the only thing sent to the driver.
+
+Defined results
+---------------
+* A group is two or more rows with equal scan_run_id, rule_id (lower case), cleaned file_path and start_line;
+  rows where one of these is null belong to no group.
+* Not filled: null, an empty array, or a placeholder text (``functions.text.PLACEHOLDERS``).
+* Ties end at the smaller raw_id, so the result does not depend on the order of rows. Rows with a null raw_id take part only
+  where no other row is as good and never name a group.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from oreline.functions.text import clean_path, filled, filled_array, strip
+
+#: Fields with a small vocabulary, whose values follow each other in a learnable order.
+CURRENCY_FIELDS = ("engine", "confidence", "severity")
+#: A field with more values than this is no vocabulary; learning refuses it.
+MAX_VALUES = 1_000
+KEY = ("scan_run_id", "rule", "path", "start_line")
+
+
+def keyed(raw: DataFrame) -> DataFrame:
+    """The rows that can belong to a group, with the group key and the filled fields counted."""
+    fields = [filled(c).cast("int") for c in ("description", "severity", "confidence", "code_snippet")]
+    fields += [F.col("end_line").isNotNull().cast("int"), filled_array("cwe_ids").cast("int")]
+    total = fields[0]
+    for f in fields[1:]:
+        total = total + f
+    conf = F.lower(strip("confidence"))
+    rank = F.when(conf == "high", 3).when(conf == "medium", 2).when(conf == "low", 1).otherwise(0)
+    return raw.select(
+        "scan_run_id", F.lower("rule_id").alias("rule"), clean_path("file_path").alias("path"), "start_line", "raw_id",
+        total.alias("n_filled"), F.unix_micros(F.col("reported_at").cast("timestamp")).alias("at"), rank.alias("conf_rank"),
+        F.when(filled("description"), F.col("description")).alias("description"),
+        *(F.when(filled(c), F.lower(strip(c))).alias(c) for c in CURRENCY_FIELDS),
+    ).where(" and ".join(f"{k} is not null" for k in KEY))
+
+
+def value_transitions(rows: DataFrame) -> DataFrame:
+    """(field, before, after, n): in how many groups ``after`` first appears next after ``before``."""
+    values = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in CURRENCY_FIELDS))
+    first = (
+        rows.where(F.col("at").isNotNull()).select(*KEY, "at", F.explode(values).alias("v")).where(F.col("v.value").isNotNull())
+        .groupBy(*KEY, F.col("v.field").alias("field"), F.col("v.value").alias("value")).agg(F.min("at").alias("at"))
+    )
+    w = Window.partitionBy(*KEY, "field").orderBy("at", "value")
+    steps = first.withColumn("before", F.lag("value").over(w)).withColumn("since", F.lag("at").over(w))
+    return steps.where("before is not null and at > since").groupBy("field", "before", F.col("value").alias("after")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def currency_levels(transitions: list[tuple[str, str, str, int]]) -> dict[tuple[str, str], int]:
+    """Level of each (field, value) in the learned partial order: later values have higher levels.
+
+    ``a`` precedes ``b`` when it was seen before it more often than after it. Values that precede each other in a
+    circle share a level (strongly connected components), so the levels are always defined.
+    """
+    counts = {(f, a, b): n for f, a, b, n in transitions}
+    after: dict[tuple[str, str], set[tuple[str, str]]] = {}
+    for (f, a, b), n in counts.items():
+        for v in ((f, a), (f, b)):
+            after.setdefault(v, set())
+        if n > counts.get((f, b, a), 0):
+            after[f, a].add((f, b))
+    reach: dict[tuple[str, str], set[tuple[str, str]]] = {}
+    for v in after:
+        seen, todo = {v}, [v]
+        while todo:
+            for x in after[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        reach[v] = seen
+    same = {v: frozenset(x for x in reach[v] if v in reach[x]) for v in after}
+    level: dict[frozenset, int] = {}
+
+    # components by size of what they reach: fewer reachable values means later, and every arc leads to such a one
+    for comp in sorted(set(same.values()), key=lambda c: -len(reach[next(iter(c))])):
+        level.setdefault(comp, 0)
+        for v in comp:
+            for x in after[v]:
+                if same[x] != comp:
+                    level[same[x]] = max(level.get(same[x], 0), level[comp] + 1)
+    return {v: level[same[v]] for v in after}
+
+
+def learned_levels(spark: SparkSession, rows: DataFrame) -> Column:
+    """A map column from ``field:value`` to its currency level, learned from all dated rows."""
+    found = value_transitions(rows).collect()  # at most MAX_VALUES squared a field; see the check below
+    sizes: dict[str, set[str]] = {}
+    for r in found:
+        sizes.setdefault(r.field, set()).update((r.before, r.after))
+    for f, values in sizes.items():
+        if len(values) > MAX_VALUES:
+            raise ValueError(f"{f} has more than {MAX_VALUES} values: no vocabulary to learn an order from")
+    levels = currency_levels([tuple(r) for r in found])
+    items = [F.lit(x) for (f, v), n in sorted(levels.items()) for x in (f"{f}:{v}", n)]
+    return F.create_map(*items) if items else F.lit(None).cast(T.MapType(T.StringType(), T.IntegerType()))
+
+
+def best_representatives(raw: DataFrame) -> DataFrame:
+    """One row per duplicate group: group_id, best_id, n_rows, the group key and the surviving engine,
+    confidence, severity and description."""
+    rows = keyed(raw)
+    levels = learned_levels(raw.sparkSession, rows)
+    best = F.max(F.struct("n_filled", F.coalesce("at", F.lit(-(2**62))).alias("t"), "conf_rank", (-F.col("raw_id")).alias("neg"), "engine"))
+    out = [F.min("raw_id").alias("group_id"), best.alias("best"), F.count(F.lit(1)).alias("n_rows")]
+    for c in CURRENCY_FIELDS:
+        level = F.coalesce(F.element_at(levels, F.concat(F.lit(f"{c}:"), F.col(c))), F.lit(-1))
+        known = F.col(c).isNotNull()
+        # dated rows: the latest value; undated rows: the topologically latest value
+        out.append(F.max(F.when(known & F.col("at").isNotNull(), F.struct("at", level.alias("level"), "n_filled", F.col(c).alias("value")))).alias(f"{c}_dated"))
+        out.append(F.max(F.when(known & F.col("at").isNull(), F.struct(level.alias("level"), "n_filled", F.col(c).alias("value")))).alias(f"{c}_undated"))
+    text = F.struct(F.col("at").isNotNull().alias("dated"), F.col("at").alias("t"), "n_filled", F.length("description").alias("len"), F.col("description").alias("value"))
+    out.append(F.max(F.when(F.col("description").isNotNull(), text)).alias("d"))
+    grouped = rows.groupBy(*KEY).agg(*out).where("n_rows > 1 and group_id is not null")
+
+    def survivor(c: str) -> Column:
+        dated, undated = F.col(f"{c}_dated"), F.col(f"{c}_undated")
+        later = undated["level"] > dated["level"]
+        return F.when(dated.isNull(), undated["value"]).when(later, undated["value"]).otherwise(dated["value"]).alias(c)
+
+    return grouped.select(
+        "group_id", (-F.col("best.neg")).alias("best_id"), "n_rows", "scan_run_id", F.col("rule").alias("rule_id"), F.col("path").alias("file_path"), "start_line",
+        F.coalesce(F.col("best.engine"), survivor("engine")).alias("engine"), survivor("confidence"), survivor("severity"), F.col("d.value").alias("description"),
+    )
