@@ -4,10 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oreline.llm import chunking, leakage, packing
+from oreline.llm import chunking, leakage, packing, secrets
 from oreline.session import table
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    found = secrets.texts_of(table(spark, d, "raw_findings"), "raw_findings", "raw_id", ("code_snippet",))
+    return found.unionByName(secrets.texts_of(table(spark, d, "poc_runs"), "poc_runs", "id", ("poc_script", "stdout_log")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_secrets(_texts(spark, d)).select("table_name", "record_id", "field_name").distinct()
+
+
+def p5_places(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_secrets(_texts(spark, d)).distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redact_texts(_texts(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.divided(packing.pack_documents(table(spark, d, "documents")))
 
@@ -41,5 +58,5 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_containers, p7_fill, p8_found, p8_paraphrases, p8_report, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_places, p5_redacted, p7_found, p7_containers, p7_fill, p8_found, p8_paraphrases, p8_report, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}
