@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oreline.llm import chunking, leakage, packing, secrets
+from oreline.llm import chunking, leakage, packing, secrets, syntax
 from oreline.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.find_invalid(table(spark, d, "training_samples")).select("id")
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_rates(table(spark, d, "training_samples"))
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     found = secrets.texts_of(table(spark, d, "raw_findings"), "raw_findings", "raw_id", ("code_snippet",))
     return found.unionByName(secrets.texts_of(table(spark, d, "poc_runs"), "poc_runs", "id", ("poc_script", "stdout_log")))
@@ -58,5 +66,5 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_places, p5_redacted, p7_found, p7_containers, p7_fill, p8_found, p8_paraphrases, p8_report, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p5_found, p5_places, p5_redacted, p7_found, p7_containers, p7_fill, p8_found, p8_paraphrases, p8_report, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}
