@@ -16,8 +16,8 @@ Defined results
 * A group is two or more rows with equal scan_run_id, rule_id (lower case), cleaned file_path and start_line;
   rows where one of these is null belong to no group.
 * Not filled: null, an empty array, or a placeholder text (``functions.text.PLACEHOLDERS``).
-* Ties end at the smaller raw_id, so the result does not depend on the order of rows. Rows with a null raw_id take part only
-  where no other row is as good and never name a group.
+* Ties end at the smaller raw_id, so the result does not depend on the order of rows. Rows without a raw_id cannot
+  be named and stay out.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def keyed(raw: DataFrame) -> DataFrame:
         total.alias("n_filled"), F.unix_micros(F.col("reported_at").cast("timestamp")).alias("at"), rank.alias("conf_rank"),
         F.when(filled("description"), F.col("description")).alias("description"),
         *(F.when(filled(c), F.lower(strip(c))).alias(c) for c in CURRENCY_FIELDS),
-    ).where(" and ".join(f"{k} is not null" for k in KEY))
+    ).where(" and ".join(f"{k} is not null" for k in (*KEY, "raw_id")))
 
 
 def value_transitions(rows: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def best_representatives(raw: DataFrame) -> DataFrame:
         out.append(F.max(F.when(known & F.col("at").isNull(), F.struct(level.alias("level"), "n_filled", F.col(c).alias("value")))).alias(f"{c}_undated"))
     text = F.struct(F.col("at").isNotNull().alias("dated"), F.col("at").alias("t"), "n_filled", F.length("description").alias("len"), F.col("description").alias("value"))
     out.append(F.max(F.when(F.col("description").isNotNull(), text)).alias("d"))
-    grouped = rows.groupBy(*KEY).agg(*out).where("n_rows > 1 and group_id is not null")
+    grouped = rows.groupBy(*KEY).agg(*out).where("n_rows > 1")
 
     def survivor(c: str) -> Column:
         dated, undated = F.col(f"{c}_dated"), F.col(f"{c}_undated")
