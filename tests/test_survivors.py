@@ -1,0 +1,63 @@
+"""Representatives of duplicate groups."""
+
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+from oreline.operators import survivors
+
+SCHEMA = "raw_id bigint, scan_run_id string, engine string, rule_id string, description string, severity string, confidence string, file_path string, start_line int, end_line int, code_snippet string, cwe_ids array<string>, reported_at timestamp, path string, at int"
+T = dt.datetime(2026, 1, 1)
+
+
+def row(i, **kw):
+    base = dict(raw_id=i, scan_run_id="s", engine="e1", rule_id="R", description="d", severity="high", confidence="low", file_path="a/b", start_line=1, end_line=2, code_snippet="x", cwe_ids=["c"], reported_at=T, path="clash", at=3)
+    return tuple((base | kw).values())
+
+
+def run(spark, *rows):
+    return {r.group_id: r for r in survivors.best_representatives(spark.createDataFrame(list(rows), SCHEMA)).collect()}
+
+
+def test_order_of_preference(spark):
+    got = run(spark, row(1, description="n/a"), row(2, reported_at=None), row(3, confidence=" HIGH"), row(4, confidence="high"), row(5, rule_id="r", file_path="./a//b\\", confidence="medium"))
+    assert got[1].best_id == 3 and got[1].n_rows == 5
+
+
+def test_single_rows_and_null_keys_form_no_group(spark):
+    assert run(spark, row(1), row(2, start_line=2), row(3, start_line=None), row(4, start_line=None), row(5, rule_id=None), row(6, rule_id=None)) == {}
+    assert run(spark) == {}
+
+
+def test_nulls_everywhere(spark):
+    blank = dict(engine=None, description=None, severity=None, confidence=None, end_line=None, code_snippet=None, cwe_ids=None, reported_at=None)
+    got = run(spark, row(7, **blank), row(8, **blank), row(None, **blank))
+    assert (got[7].best_id, got[7].n_rows, got[7].severity) == (7, 2, None)
+
+
+def test_levels_follow_the_learned_order_and_share_circles():
+    levels = survivors.currency_levels([("s", "low", "high", 3), ("s", "high", "low", 1), ("s", "high", "fatal", 2), ("c", "a", "b", 1), ("c", "b", "c", 1), ("c", "c", "a", 1)])
+    assert levels["s", "low"] < levels["s", "high"] < levels["s", "fatal"]
+    assert levels["c", "a"] == levels["c", "b"] == levels["c", "c"]
+
+
+def test_undated_values_take_their_topological_place(spark):
+    learn = [row(10 + 2 * k + j, start_line=100 + k, severity=s, reported_at=T + dt.timedelta(hours=j)) for k in range(3) for j, s in enumerate(("low", "critical"))]
+    got = run(spark, *learn, row(1, severity="low"), row(2, severity="critical", reported_at=None))
+    assert got[1].severity == "critical"  # undated, but learned to come after the dated value
+    got = run(spark, *learn, row(1, severity="critical"), row(2, severity="low", reported_at=None))
+    assert got[1].severity == "critical"
+
+
+def test_as_a_plain_model_on_random_rows(spark):
+    rng = random.Random(4)
+    data = [row(i, start_line=rng.randrange(6), confidence=rng.choice(["high", "HIGH", "low", None, "n/a"]), description=rng.choice(["d", "", "-"]), reported_at=rng.choice([None, T, T + dt.timedelta(1)])) for i in range(200)]
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    groups: dict = {}
+    for r in (dict(zip(names, x)) for x in data):
+        groups.setdefault(r["start_line"], []).append(r)
+    bad = {None, "", "n/a", "none", "unknown", "-"}
+    key = lambda r: (-sum(str(r[c]).lower().strip() not in bad and r[c] is not None for c in ("description", "severity", "confidence", "code_snippet")), r["reported_at"] is None, -(r["reported_at"] or T).timestamp(), -{"high": 3, "medium": 2, "low": 1}.get((r["confidence"] or "").lower(), 0), r["raw_id"])
+    want = {min(x["raw_id"] for x in g): min(g, key=key)["raw_id"] for g in groups.values() if len(g) > 1}
+    assert {k: v.best_id for k, v in run(spark, *data).items()} == want
