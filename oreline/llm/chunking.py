@@ -145,12 +145,13 @@ def split_documents(docs: DataFrame, limit: int = 512, overlap: int = 32, path:
         for pdf in batches:
             rows = [
                 (doc, k, a, b, size, kind, text[a:b])
-                for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist())
+                for doc, text in zip(tokens.numbers(pdf["doc_id"]), pdf["text"].tolist())
                 for k, (a, b, size, kind) in enumerate(split_text(text, limit, overlap, path), 1)
             ]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece_no", "start_char", "end_char", "n_tokens", "cut", "text"])
+            out = pd.DataFrame(rows, columns=["doc_id", "piece_no", "start_char", "end_char", "n_tokens", "cut", "text"])
+            yield out.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(split, PIECES)
+    return tokens.texts(docs).mapInPandas(split, PIECES)
 
 
 def divided(pieces: DataFrame) -> DataFrame:

@@ -127,10 +127,10 @@ _JS = {
     "TERM": r"(?:[usakwqzx]|A?(?:i|P)G)*(?:i|l|z|P|S|B|A?Fx?i?PB|Ki?(?:X(?:i|P)(?:\.i|P|S)*)?B)(?:\.i|P|S|k|l|\.P|\.S)*",
     "EX": r"<TERM>(?:[bsx<>=?:N]<TERM>)*",
     "LIST": r"(?:<EX>(?:,<EX>)*,?)?",
-    "MEMBER": r"(?:@i(?:\.i)*P?)*m*A?m*x?(?:i|l|S)(?:PB|=<EX>)?",
+    "MEMBER": r"(?:@P?)*m*A?m*x?(?:i|l|S)(?:PB|=<EX>)?",
     "PROPERTY": r"m*A?x?(?:i|l|S)(?:PB|:<EX>)?|q<EX>|i=<EX>",
     "SIMPLE": r"<EX>(?:,<EX>)*|[vV]<EX>(?:,<EX>)*|R(?:<EX>(?:,<EX>)*)?|t<EX>|Ji?|WP|M(?:l|(?:i|B|xNi)(?:,(?:B|xNi))?fl)|ed<EX>|eB(?:fl)?|ex(?:Ni)?fl|<MEMBER>",
-    "BLOCK": r";|IP|WP|La?P|E|O|i:|C<EX>:|d:|YB(?:cP?B)?(?:yB)?|TPB|A?Fx?i?PB|Ki?(?:X<EX>)?B|e|ed|m*A?x?(?:i|l|S)PB|m*B|B",
+    "BLOCK": r";|@P?|IP|WP|La?P|E|O|i:|C<EX>:|d:|YB(?:cP?B)?(?:yB)?|TPB|A?Fx?i?PB|Ki?(?:X<EX>)?B|e|ed|m*A?x?(?:i|l|S)PB|m*B|B",
     "ITEM": r"<BLOCK>|<SIMPLE>;",
     "TAIL": r"<SIMPLE>|<PROPERTY>(?:,<PROPERTY>)*,?",
     "ROUND": r"<LIST>|[vV]<LIST>|[vV]?<LIST>;<LIST>;<LIST>|[vV]<EX>N<EX>",
@@ -140,7 +140,7 @@ _TS = _JS | {
     "TERM": r"(?:[usakwqzxmN]|A?(?:i|P)G|<ARGS>)*(?:i|l|z|P|S|B|A?Fx?i?<ARGS>?P(?:b?:<EX>)?B|Ki?(?:X<EX>)*B)(?:\.i|P|S|k|l|u|\.P|\.S|<ARGS>)*",
     "ARGS": r"[<](?:i(?:X<EX>)?|<EX>)(?:,<EX>)*>+",
     "EX": r"<TERM>(?:[bsx<>=?:NX]<TERM>|<TERM>G<TERM>|\?:<TERM>|u:<TERM>)*(?:<ARGS>|\?|:P?G<TERM>)?",
-    "MEMBER": r"(?:@i(?:\.i)*P?)*m*A?m*x?(?:i|l|S)?\??u?<ARGS>?(?:P(?::<EX>)?B?|:<EX>)?(?:=<EX>)?[;,]?",
+    "MEMBER": r"(?:@P?)*m*A?m*x?(?:i|l|S)?\??u?<ARGS>?(?:P(?::<EX>)?B?|:<EX>)?(?:=<EX>)?[;,]?",
     "SIMPLE": _JS["SIMPLE"] + r"|Hi<ARGS>?=b?<EX>|MHBfl|eHB(?:fl)?|A?Fx?i?<ARGS>?P(?::<EX>)?|Mi=<EX>|m*S:<EX>",
     "BLOCK": _JS["BLOCK"] + r"|m|[QUK]i<ARGS>?(?:X<EX>(?:,<EX>)*)*B|A?Fx?i<ARGS>?P(?::<EX>)?B|QlB|m*A?x?(?:i|l|S)\??<ARGS>?P(?::<EX>)?B",
     "TAIL": r"<SIMPLE>|<PROPERTY>(?:,<PROPERTY>)*,?|<MEMBER>(?:,<MEMBER>)*,?|<ARGS>?P(?::<EX>)?",
@@ -246,7 +246,7 @@ _PY = {
     "EXS": r"<EX>(?:,<EX>)*,?",
     "YIELD": r"z(?:f<EX>|<EXS>)?",
     "NAME": r"i(?:\.i)*",
-    "SMALL": r"<EXS>(?:=(?:<EXS>|<YIELD>))*|<EX>:<EX>(?:=(?:<EXS>|<YIELD>))?|<YIELD>|R<EXS>?|t(?:<EX>(?:f<EX>)?)?|M<NAME>(?:si)?(?:,<NAME>(?:si)?)*|f(?:\.|<NAME>)+M(?:x|P|i(?:si)?(?:,i(?:si)?)*)|J|gi(?:,i)*|d<EXS>|a<EX>(?:,<EX>)?|OiS?=<EX>",
+    "SMALL": r"<EXS>(?:=(?:<EXS>|<YIELD>))*|<EX>:<EX>(?:=(?:<EXS>|<YIELD>))?|<YIELD>|R<EXS>?|t(?:<EX>(?:f<EX>)?)?|M<NAME>(?:si)?(?:,<NAME>(?:si)?)*|f(?:\.+<NAME>?|<NAME>)M(?:x|P|i(?:si)?(?:,i(?:si)?)*)|J|gi(?:,i)*|d<EXS>|a<EX>(?:,<EX>)?|OiS?=<EX>",
     "SUITE": r"(?:ZD|<SMALL>(?:;<SMALL>)*;?Z)",
     "ITEM": r"<SMALL>(?:;<SMALL>)*;?Z|Z|(?:I|e|W)<EX>:<SUITE>|(?:E|T|y):<SUITE>|A?L<EXS>N<EXS>:<SUITE>|A?w<EX>(?:s<EX>)?(?:,<EX>(?:s<EX>)?)*:<SUITE>|cx?(?:<EXS>(?:si)?)?:<SUITE>|A?FiS?P(?:G<EX>)?:<SUITE>|KiS?P?:<SUITE>|@<EX>Z|H<EXS>(?:s<EX>)?(?:I<EX>)?:<SUITE>",
     "ROUND": r"(?:<EX>(?:,<EX>)*,?)?|<YIELD>|<EX><FORIN>|(?:[xX]*i(?::x?<EX>)?(?:=<EX>)?|b|x)(?:,(?:[xX]*i(?::x?<EX>)?(?:=<EX>)?|b|x))*,?|i(?:si)?(?:,i(?:si)?)*,?|<EX>(?:s<EX>)?(?:,<EX>(?:s<EX>)?)*,?|(?:<EX>,)*i=<EX>(?:,i=<EX>)*",

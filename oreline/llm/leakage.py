@@ -35,6 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oreline.llm import tokens
 from oreline.session import cut_lineage
 
 RUN = 13
@@ -100,7 +101,7 @@ def encode(docs: DataFrame, vocab: dict[str, int]) -> DataFrame:
             codes = [np.array([get(w, -1) for w in words(t)], np.int32).tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "codes": codes})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, codes binary")
+    return tokens.texts(docs).mapInPandas(run, "doc_id string, codes binary")
 
 
 def inverse_frequencies(encoded: DataFrame, n_vocab: int) -> np.ndarray:
@@ -260,7 +261,7 @@ def _windows(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> np
 
 
 def _prepare(docs: DataFrame, eval_items: DataFrame, rank: int):
-    held = Items([(r[0], r[1]) for r in eval_items.select("item_id", "text").orderBy("item_id").collect()])
+    held = Items([(r[0], r[1]) for r in eval_items.where("item_id is not null").select("item_id", "text").orderBy("item_id").collect()])
     encoded = cut_lineage(encode(docs, held.vocab))
     idf = inverse_frequencies(encoded, len(held.vocab))
     basis = latent_basis(encoded, idf, rank) if len(idf) else np.zeros((0, 1))
@@ -269,10 +270,10 @@ def _prepare(docs: DataFrame, eval_items: DataFrame, rank: int):
 
 def find_leaks(docs: DataFrame, eval_items: DataFrame, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, n_passages) of all documents and items that share RUN consecutive words."""
-    kind = "doc_id bigint, item_id bigint, n_passages int"
+    kind = "doc_id string, item_id bigint, n_passages int"
     held, encoded, idf, basis = _prepare(docs, eval_items, rank)
     if not held.passages or not len(idf):
-        return docs.sparkSession.createDataFrame([], kind)
+        return docs.sparkSession.createDataFrame([], kind.replace("string", "bigint"))
     n = len(idf)
     space = _item_space(held, idf, basis)
     weighted = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
@@ -313,7 +314,7 @@ def find_leaks(docs: DataFrame, eval_items: DataFrame, rank: int = RANK) -> Data
                         found[pair] = found.get(pair, 0) + 1
             yield pd.DataFrame([(docs[a], ids[b], c) for (a, b), c in found.items()], columns=["doc_id", "item_id", "n_passages"])
 
-    return encoded.mapInPandas(search, kind).groupBy("doc_id", "item_id").agg(F.sum("n_passages").cast("int").alias("n_passages"))
+    return encoded.mapInPandas(search, kind).groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), "item_id").agg(F.sum("n_passages").cast("int").alias("n_passages"))
 
 
 def find_paraphrases(docs: DataFrame, eval_items: DataFrame, rank: int = RANK, cosine: float = 0.5, common: float = 0.5, answer: float = 0.6, rare: float = 0.005, least_rare: int = 3) -> DataFrame:
@@ -321,10 +322,10 @@ def find_paraphrases(docs: DataFrame, eval_items: DataFrame, rank: int = RANK, c
     the item's do (longest common subsequence over the passage's length) and that hold its answer: the words found in at most
     a share ``rare`` of all documents. Passages of items with fewer than ``least_rare`` such words say too little and are
     not searched."""
-    kind = "doc_id bigint, item_id bigint, cosine double, common double, answer double"
+    kind = "doc_id string, item_id bigint, cosine double, common double, answer double"
     held, encoded, idf, basis = _prepare(docs, eval_items, rank)
     if not held.passages or not len(idf):
-        return docs.sparkSession.createDataFrame([], kind)
+        return docs.sparkSession.createDataFrame([], kind.replace("string", "bigint"))
     n = len(idf)
     space = _item_space(held, idf, basis)
     seldom = idf >= 1 - np.log(rare)
@@ -374,7 +375,7 @@ def find_paraphrases(docs: DataFrame, eval_items: DataFrame, rank: int = RANK, c
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "common", "answer"])
 
     found = encoded.mapInPandas(search, kind)
-    return found.groupBy("doc_id", "item_id").agg(*(F.round(F.max(c), 4).alias(c) for c in ("cosine", "common", "answer")))
+    return found.groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), "item_id").agg(*(F.round(F.max(c), 4).alias(c) for c in ("cosine", "common", "answer")))
 
 
 def leak_report(leaks: DataFrame, docs: DataFrame, eval_items: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ OPERATORS = {
 }
 OPERATORS["typescript"] = OPERATORS["javascript"]
 DIRECTIVE = re.compile(
-    r"#[ \t]*(?:include(?:_next)?[ \t]*(?:<[^>\n]+>|\"[^\"\n]+\"|[A-Za-z_]\w*.*)|define[ \t]+[A-Za-z_]\w*(?:\([^)\n]*\)|[ \t].*)?|undef[ \t]+\w+|if(?:n?def[ \t]+\w+|[ \t(!].+)|elif(?:n?def)?[ \t(].*|else|endif|pragma.*|error.*|warning.*|line.*)?[ \t]*(?://.*|/\*.*)?$"
+    r"#[ \t]*(?:include(?:_next)?[ \t]*(?:<[^>\n]+>|\"[^\"\n]+\"|[A-Za-z_]\w*.*)|define[ \t]+[A-Za-z_]\w*(?:\([^)\n]*\))?(?:[ \t].*)?|undef[ \t]+\w+|if(?:n?def[ \t]+\w+|[ \t(!].+)|elif(?:n?def)?[ \t(].*|else|endif|pragma.*|error.*|warning.*|line.*)?[ \t]*(?://.*|/\*.*)?$"
 )
 
 
@@ -264,6 +264,8 @@ def _javascript(code: str, at: int, language: str, out: list[str], inner: bool)
                 c = ERROR
         elif kind == "op":
             c = ops[text]
+            if text == "@" and (name := re.compile(r"[\w$.]+").match(code, at)):
+                at = name.end()  # a decorator is one token with its name
             if text == "#":
                 private = re.compile(WORD).match(code, at)
                 c = "i" if private and text != "" and not re.match(r"include\b|define\b", private[0]) else ERROR

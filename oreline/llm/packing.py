@@ -44,7 +44,7 @@ def document_items(docs: DataFrame, capacity: int, path: str = tokens.VOCABULARY
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
+            for doc, text in zip(tokens.numbers(pdf["doc_id"]), pdf["text"].tolist()):
                 ids = tokens.ids(text, path)
                 full = len(ids) // capacity
                 rows += [(doc, k, k * capacity, capacity, True, None, None) for k in range(full)]
@@ -52,9 +52,10 @@ def document_items(docs: DataFrame, capacity: int, path: str = tokens.VOCABULARY
                 if len(rest) or not full:
                     terms, counts = np.unique(rest, return_counts=True)
                     rows.append((doc, full, full * capacity, len(rest), False, terms.astype(np.int32), counts.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece_no", "start_token", "n_tokens", "is_full", "terms", "counts"])
+            out = pd.DataFrame(rows, columns=["doc_id", "piece_no", "start_token", "n_tokens", "is_full", "terms", "counts"])
+            yield out.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(cut, ITEMS)
+    return tokens.texts(docs).mapInPandas(cut, ITEMS)
 
 
 def document_frequencies(items: DataFrame, n_vocab: int) -> np.ndarray:
@@ -152,7 +153,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2_048, path: str = tokens.VO
     shards = max(1, -(-total.n // shard_items))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece_no", "n_tokens"], kind="stable", ignore_index=True)
+        pdf = pdf.assign(doc_id=pd.array(tokens.numbers(pdf["doc_id"]), "Int64")).sort_values(["doc_id", "piece_no", "n_tokens"], kind="stable", ignore_index=True)
         boxes = pack_shard(pdf, shared.value, mean, capacity)
         rows = np.array([i for box in boxes for i in box], np.int64)
         shard = pdf["shard"].iloc[0]
@@ -162,7 +163,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2_048, path: str = tokens.VO
         return out
 
     shard = F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(shards)).cast("int")
-    packed = rests.withColumn("shard", shard).groupBy("shard").applyInPandas(pack, PLACES)
+    packed = rests.withColumn("shard", shard).withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("shard").applyInPandas(pack, PLACES)
     full = items.where("is_full").select(F.concat(F.lit("full-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece_no").cast("string")).alias("container_id"), F.lit(0).alias("slot"), "doc_id", "piece_no", "start_token", "n_tokens")
     return full.unionByName(packed)
 

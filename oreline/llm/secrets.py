@@ -84,7 +84,9 @@ SHORT_U = re.compile(r"""(?<![\w-])(?:-u|--user)[\s=]{1,4}["']?[^\s:"'$]+:(?P<va
 #: Unquoted access to a member: a variable or a look-up, no literal.
 MEMBER = re.compile(r"^[A-Za-z_$][\w$]*(?:(?:\??\.|->|::)[A-Za-z_$][\w$]*)+;?$")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-PERCENT = re.compile(r"[\w.~+&=-]*(?:%[0-9A-Fa-f]{2}[\w.~+&=-]*){2,}")
+PERCENT_CODE = re.compile(r"%[0-9A-Fa-f]{2}")
+#: Runs that may hold percent codes; those with fewer than two are passed over.
+PERCENT = re.compile(r"[^\s\"'`<>]+")
 
 # Lengths of common digests in hexadecimal; forms of password hashes and ids.
 HEX_DIGESTS = {32, 40, 48, 56, 64, 96, 128}
@@ -262,8 +264,10 @@ def find(text: str | None, path: str = tokens.VOCABULARY, depth: int = 2) -> lis
         elif is_secret(value, least, path):
             out.append((a, b, "literal"))
     if depth:
-        for form, decode in ((ENCODED, decoded), (PERCENT, unquote)):
+        for form, decode in ((ENCODED, decoded), *(((PERCENT, unquote),) if "%" in text else ())):
             for m in form.finditer(text):
+                if form is PERCENT and len(PERCENT_CODE.findall(m[0])) < 2:
+                    continue
                 plain = decode(m[0])
                 if plain and plain != m[0] and find(plain, path, depth - 1):
                     out.append((m.start(), m.end(), "encoded"))

@@ -6,6 +6,9 @@ import base64
 import functools
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's published splitting pattern (fixed value).
@@ -48,3 +51,13 @@ def char_ends(text: str, token_ids: np.ndarray, path: str = VOCABULARY) -> np.nd
     starts = np.append((raw & 0xC0) != 0x80, True)  # a character, or the text's end, begins here
     before = np.cumsum(starts) - 1
     return np.where(starts[ends], before[ends], -1)
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the id as text: pandas would turn a column of numbers and nulls into floats."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+
+def numbers(ids: pd.Series) -> list[int | None]:
+    """The ids of :func:`texts` as numbers again."""
+    return [None if i is None or i != i else int(i) for i in ids]
