@@ -12,7 +12,7 @@ The candidate search loses nothing. For passages d and q the inner product is at
 with P the projection on the latent space. Passages that share a run s of RUN words have <d, q> >= |s|^2, and |s|^2 is at
 least the smallest such value over the runs of q. So a pair whose latent cosine, with the known residuals added, stays below
 that item's own threshold cannot share a run. Candidates are then checked exactly: longest common run of words for
-verbatim leaks; longest common subsequence and the item's rare words (its answer) for paraphrases.
+verbatim leaks; longest common subsequence and the item's rarest words (its answer) for paraphrases.
 
 Scale: documents are encoded once (word numbers, -1 outside the vocabulary) and read three times; each
 task sends one array of the vocabulary's size. Nothing about documents reaches the driver. The items are broadcast and
@@ -41,6 +41,8 @@ from oreline.session import cut_lineage
 RUN = 13
 STEP = RUN
 PASSAGE = RUN + STEP - 1
+#: Words by which windows of the grid are widened to hold every run of PASSAGE words.
+MARGIN = STEP // 2
 RANK = 32
 OVERSAMPLE = 8
 MAX_ITEM_WORDS = 1_000_000
@@ -317,61 +319,132 @@ def find_leaks(docs: DataFrame, eval_items: DataFrame, rank: int = RANK) -> Data
     return encoded.mapInPandas(search, kind).groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), "item_id").agg(F.sum("n_passages").cast("int").alias("n_passages"))
 
 
+def answer_words(passages: list[np.ndarray], idf: np.ndarray, rare: float, least_rare: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each passage its words found in at most a share ``rare`` of all documents (none where they are fewer than
+    ``least_rare``), and the rarer half of its words by rank (none where it has fewer than
+    ``least_rare`` words at all)."""
+    by_share, by_rank = [], []
+    for p in passages:
+        w = np.unique(p)
+        w = w[np.lexsort((w, -idf[w]))]
+        seldom = w[idf[w] >= 1 - np.log(rare)]
+        by_share.append(seldom if len(seldom) >= least_rare else w[:0])
+        by_rank.append(w[: max(least_rare, -(-len(w) // 2))] if len(w) >= least_rare else w[:0])
+    return by_share, by_rank
+
+
+def common_subsequences(same: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of many pairs, given as (pair, word of one, word of the other) equalities."""
+    row = np.zeros((len(same), same.shape[2] + 1), np.int16)
+    for k in range(same.shape[1]):
+        row[:, 1:] = np.maximum.accumulate(np.maximum(row[:, 1:], np.where(same[:, k], row[:, :-1] + 1, 0)), axis=1)
+    return row[:, -1]
+
+
+class _Asked:
+    """Which passages ask for a word, to count the words of each passage that windows hold."""
+
+    def __init__(self, wanted: list[np.ndarray], n: int):
+        self.size = np.array([len(a) for a in wanted])
+        word = np.concatenate(wanted)
+        order = np.argsort(word, kind="stable")
+        self.by = np.repeat(np.arange(len(wanted)), self.size)[order]
+        self.first = np.searchsorted(word[order], np.arange(n + 1))
+
+    def held(self, i: np.ndarray, word: np.ndarray, n_windows: int) -> np.ndarray:
+        """(window, passage): words that are held; i and word list each window's words once."""
+        many = self.first[word + 1] - self.first[word]
+        at = np.repeat(self.first[word], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.bincount(np.repeat(i, many) * len(self.size) + self.by[at], minlength=n_windows * len(self.size)).reshape(n_windows, -1)
+
+
 def find_paraphrases(docs: DataFrame, eval_items: DataFrame, rank: int = RANK, cosine: float = 0.5, common: float = 0.5, answer: float = 0.6, rare: float = 0.005, least_rare: int = 3) -> DataFrame:
-    """(doc_id, item_id, cosine, common, answer): passages like an item's in the latent space whose words follow each other as
-    the item's do (longest common subsequence over the passage's length) and that hold its answer: the words found in at most
-    a share ``rare`` of all documents. Passages of items with fewer than ``least_rare`` such words say too little and are
-    not searched."""
+    """(doc_id, item_id, cosine, common, answer): PASSAGE consecutive words anywhere in a document (all words of a shorter one)
+    that are like an item's passage in the latent space, whose words follow each other as the item's do (longest common
+    subsequence over the passage's length) and that hold its answer: a share ``answer`` of the words found in at most a share
+    ``rare`` of all documents, if the passage has ``least_rare`` of them, or of the rarer half of its words by rank. The rank
+    holds on few documents, and on items so often copied that their words are common. Passages of fewer than ``least_rare``
+    different words have no answer; cosine and subsequence decide.
+
+    Every passage is searched. Windows of the grid, wider by MARGIN words on both sides, hold every run of PASSAGE words; those that
+    hold enough words of a passage are then checked at each place a run may begin."""
     kind = "doc_id string, item_id bigint, cosine double, common double, answer double"
     held, encoded, idf, basis = _prepare(docs, eval_items, rank)
     if not held.passages or not len(idf):
         return docs.sparkSession.createDataFrame([], kind.replace("string", "bigint"))
     n = len(idf)
     space = _item_space(held, idf, basis)
-    seldom = idf >= 1 - np.log(rare)
-    answers = [np.unique(p[seldom[p]]) for p in held.passages]
-    answers = [a if len(a) >= least_rare else a[:0] for a in answers]
+    answers = answer_words(held.passages, idf, rare, least_rare)
     weighted = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((space, weighted, idf, held.passages, held.ids, answers))
+    shared = docs.sparkSession.sparkContext.broadcast((space, weighted, held.passages, held.ids, answers))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        space, weighted, idf, passages, ids, answers = shared.value
-        length = np.maximum(np.linalg.norm(space["latent"], axis=1), 1e-9)
-        unit = space["latent"] / length[:, None]
-        floor = (cosine * space["norm"]) ** 2
-        n_answers = np.array([len(a) for a in answers])
-        asked = np.repeat(np.arange(len(answers)), n_answers)
-        word_of = np.concatenate(answers)
-        asked = asked[np.argsort(word_of, kind="stable")]
-        first = np.searchsorted(np.sort(word_of), np.arange(n + 1))
+        space, weighted, passages, ids, answers = shared.value
+        unit = space["latent"] / np.maximum(np.linalg.norm(space["latent"], axis=1), 1e-9)[:, None]
+        asked = [_Asked(a, n) for a in answers]
+        every = _Asked([np.unique(p) for p in passages], n)
+        free = (asked[0].size == 0) & (asked[1].size == 0)
+        size = np.array([len(p) for p in passages])
+        padded = np.full((len(passages), PASSAGE), -2, np.int32)
+        answer_at = [np.zeros(padded.shape, bool) for _ in answers]  # the first place of each answer word
+        most = np.zeros(len(passages), np.int64)  # places of a passage that repeat a word
+        for j, p in enumerate(passages):
+            padded[j, : len(p)] = p
+            word, place = np.unique(p, return_index=True)
+            most[j] = len(p) - len(word)
+            for marks, a in zip(answer_at, answers):
+                marks[j, place[np.isin(word, a[j])]] = True
+        shift = np.arange(-(STEP // 2), STEP // 2 + 1)
         for docs, codes in _slices(batches):
             flat, begin, end = _passages(codes)
             if not len(begin):
                 continue
-            norms = squared_norms(_windows(flat, begin, end, n), idf)
-            at = np.flatnonzero(norms >= floor.min())
-            if not len(at):
-                continue
-            z = _projected(flat, begin[at], end[at], weighted)
-            z /= np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
-            doc_of = np.searchsorted(np.cumsum([len(starts(len(c) // 4)) for c in codes]), at, "right")
+            lengths = np.array([len(c) // 4 for c in codes])
+            last = np.cumsum(lengths)
+            doc_of = np.searchsorted(np.cumsum([len(starts(m)) for m in lengths]), np.arange(len(begin)), "right")
+            low, high = (last - lengths)[doc_of], last[doc_of]
+            sums = np.zeros((len(flat) + 1, weighted.shape[1]), np.float64)
+            np.cumsum(weighted[flat], axis=0, out=sums[1:])
             rows = []
-            for k in range(0, len(at), 2_048):
-                held = at[k : k + 2_048]
-                ids_of = np.sort(_windows(flat, begin[held], end[held], n), axis=1)
-                ids_of[:, 1:][ids_of[:, 1:] == ids_of[:, :-1]] = n  # each word once
-                i, word = np.repeat(np.arange(len(held)), PASSAGE), ids_of.ravel()
+            for k in range(0, len(begin), 1_024):
+                part = slice(k, k + 1_024)
+                lo, hi = low[part], high[part]
+                at = np.maximum(begin[part] - MARGIN, lo)[:, None] + np.arange(PASSAGE + 2 * MARGIN)
+                wide = np.where(at < np.minimum(end[part] + MARGIN, hi)[:, None], flat[np.minimum(at, len(flat) - 1)], n)
+                wide = np.sort(np.where(wide < 0, n, wide), axis=1)
+                wide[:, 1:][wide[:, 1:] == wide[:, :-1]] = n  # each word once
+                i, word = np.repeat(np.arange(len(wide)), wide.shape[1]), wide.ravel()
                 i, word = i[word < n], word[word < n]
-                many = first[word + 1] - first[word]
-                at_word = np.repeat(first[word], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                hits = np.bincount(np.repeat(i, many) * len(passages) + asked[at_word], minlength=len(held) * len(passages)).reshape(len(held), -1)
-                share = hits / np.maximum(n_answers, 1)[None, :]
-                near = z[k : k + 2_048] @ unit.T
-                for i, j in zip(*np.nonzero((share >= answer) & (near >= cosine) & (norms[held][:, None] >= floor[None, :]))):
-                    p = passages[j]
-                    both = common_subsequence(flat[begin[held[i]] : end[held[i]]], p) / len(p)
-                    if both >= common:
-                        rows.append((docs[int(doc_of[k + i])], ids[int(space["owner"][j])], float(near[i, j]), both, float(share[i, j])))
+                fits = np.broadcast_to(free, (len(wide), len(free))).copy()
+                for x in asked:
+                    fits |= (x.held(i, word, len(wide)) >= answer * x.size - 1e-9) & (x.size > 0)
+                fits &= every.held(i, word, len(wide)) + most >= common * size
+                w, j = np.nonzero(fits)
+                for c in range(0, len(w), 2_048):
+                    wc, jc = w[c : c + 2_048], j[c : c + 2_048]
+                    # each place where a run of the document may begin that is nearest to this window of the grid
+                    first = begin[part][wc][:, None] + shift
+                    ok = (first >= lo[wc][:, None]) & (first <= np.maximum(hi[wc] - PASSAGE, lo[wc])[:, None])
+                    where = np.flatnonzero(ok.ravel())
+                    first, wc, jc = first.ravel()[where], np.repeat(wc, len(shift))[where], np.repeat(jc, len(shift))[where]
+                    stop = np.minimum(first + PASSAGE, hi[wc])
+                    z = sums[stop] - sums[first]
+                    near = np.einsum("ij,ij->i", z, unit[jc]) / np.maximum(np.linalg.norm(z, axis=1), 1e-9)
+                    keep = near >= cosine
+                    first, stop, wc, jc, near = first[keep], stop[keep], wc[keep], jc[keep], near[keep]
+                    for e in range(0, len(first), 4_096):
+                        f, s, q = first[e : e + 4_096], stop[e : e + 4_096], jc[e : e + 4_096]
+                        at = f[:, None] + np.arange(PASSAGE)
+                        codes_at = np.where(at < s[:, None], flat[np.minimum(at, len(flat) - 1)], -1)
+                        same = codes_at[:, :, None] == padded[q][:, None, :]
+                        has = same.any(axis=1)
+                        share = np.where(free[q], 1.0, 0.0)
+                        for marks, x in zip(answer_at, asked):
+                            share = np.maximum(share, (has & marks[q]).sum(axis=1) / np.maximum(x.size[q], 1))
+                        good = np.flatnonzero((share >= answer - 1e-9) & (has.sum(axis=1) >= common * size[q]))
+                        both = common_subsequences(same[good]) / size[q[good]]
+                        for g, b in zip(good[both >= common].tolist(), both[both >= common].tolist()):
+                            rows.append((docs[int(doc_of[k + wc[e + g]])], ids[int(space["owner"][q[g]])], float(near[e + g]), b, float(share[g])))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "common", "answer"])
 
     found = encoded.mapInPandas(search, kind)

@@ -83,3 +83,52 @@ def test_paraphrases(spark):
     d = spark.createDataFrame([(1, near), (2, "nothing like it at all"), *filler], "doc_id bigint, text string")
     e = spark.createDataFrame([(7, item)], "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in leakage.find_paraphrases(d, e, rare=0.01).collect()} == {(1, 7)}
+
+
+def paraphrases(spark, docs, items, **kw):
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    e = spark.createDataFrame(items, "item_id bigint, text string")
+    return d, e, {(r.doc_id, r.item_id) for r in leakage.find_paraphrases(d, e, **kw).collect()}
+
+
+def test_paraphrases_in_few_documents_and_of_often_copied_items(spark):
+    """With the production parameters: no word can be rare in 20 documents; nor are those of an item that a tenth holds."""
+    item = "the quokka module leaks zanthor bytes while frobnicating the wimple cache under heavy load each night because nobody drains it"
+    near = "the quokka module leaks many zanthor bytes while it is frobnicating the wimple cache under load each night because nobody drains it"
+    filler = [(k, " ".join(random.Random(k).choice(COMMON) for _ in range(60))) for k in range(100, 460)]
+    assert paraphrases(spark, [(1, near), (2, "nothing like it at all"), *filler[:18]], [(7, item)])[2] == {(1, 7)}
+    edited = [(k, near.replace("quokka", "other").replace("heavy ", "").replace("nobody", "none")) for k in range(40)]
+    assert paraphrases(spark, [*edited, *filler], [(7, item)])[2] == {(k, 7) for k in range(40)}
+    assert paraphrases(spark, [(1, "so be it"), *filler[:18]], [(7, "be it")])[2] == {(1, 7)}  # too short for an answer
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_paraphrases_at_any_place(spark, seed):
+    rng = random.Random(seed)
+    text = lambda n: [rng.choice(COMMON) if rng.random() < 0.4 else f"rare{rng.randrange(300)}" for _ in range(n)]
+    items = [(i, text(rng.choice([2, 8, 25, 40, 70]))) for i in range(10)]
+    docs = []
+    for d in range(50):
+        w = text(rng.choice([0, 5, 30, 90]))
+        if d % 2:
+            near = [x for x in rng.choice(items)[1] if rng.random() < 0.7]
+            at = rng.randrange(len(w) + 1)
+            w = w[:at] + [y for x in near for y in ([x] if rng.random() < 0.85 else [x, "and"])] + w[at:]
+        docs.append((d, " ".join(w)))
+    d, e, got = paraphrases(spark, docs, [(i, " ".join(w)) for i, w in items])
+    held, encoded, idf, basis = leakage._prepare(d, e, leakage.RANK)
+    answers = leakage.answer_words(held.passages, idf, 0.005, 3)
+    want = set()
+    for doc, codes in encoded.collect():
+        codes = np.frombuffer(codes, np.int32)
+        for a in range(max(len(codes) - leakage.PASSAGE, 0) + 1):
+            w = codes[a : a + leakage.PASSAGE]
+            known = w[w >= 0]
+            z = (basis[known] * idf[known, None]).sum(axis=0)
+            for j, p in enumerate(held.passages):
+                q = (basis[p] * idf[p, None]).sum(axis=0)
+                share = max([np.isin(x[j], w).mean() for x in answers if len(x[j])], default=1.0)
+                cos = z @ q / max(np.linalg.norm(z) * np.linalg.norm(q), 1e-9)
+                if share >= 0.6 - 1e-9 and cos >= 0.5 and leakage.common_subsequence(w, p) >= 0.5 * len(p):
+                    want.add((int(doc), held.ids[held.owner[j]]))
+    assert want and got == want
