@@ -68,3 +68,14 @@ def test_frames(spark):
     clean = secrets.redact_texts(texts).collect()
     assert len(clean) == 5 and sum(r.n_redacted for r in clean) == 3
     assert secrets.find_secrets(texts.limit(0)).count() == 0
+
+
+def test_every_text_that_is_redacted_is_found(spark):
+    texts = [
+        'dbPass = "Xk9$2mQ7vL"', 'smtpPass: "Zq8!fT2kW"', 'PASS_PROD="Zq8!fT2kW"', 'pass1 = "Zq8!fT2kW"', '["mysql","-pZq8fT2kW"]', "-pZq8fT2kW", "curl -u=me:Zq8fT2kW",
+        'storage_key = "Zq8!fT2kW"', 'sharedKey: "Zq8!fT2kW"', 'licenseKey = "Zq8!fT2kW"', "x = 1",
+    ]
+    df = spark.createDataFrame([("t", str(k), "f", t) for k, t in enumerate(texts)], "table_name string, record_id string, field_name string, text string")
+    got = {r.record_id for r in secrets.find_secrets(df).collect()}
+    assert got == {r.record_id for r in secrets.redact_texts(df).where("n_redacted > 0").collect()}
+    assert got >= {str(k) for k in range(10) if k != 6} and "10" not in got
