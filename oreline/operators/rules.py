@@ -28,16 +28,26 @@ LINE_RULES = (
 #: (type, pattern)
 WEAK_RULES = (
     ("weakrand", r"new\s+java\.util\.Random\s*\("),
+    ("weakrand", r"java\.util\.Random\s*\(\s*\)\s*\.\s*next[A-Z]\w*\s*\("),
     ("weakrand", r"Math\.random\s*\(\s*\)"),
     ("crypto", r"Cipher\.getInstance\s*\(\s*['\"]DES"),
     ("crypto", r"(?i)MessageDigest\.getInstance\s*\(\s*['\"](?:MD5|SHA-?1)['\"]"),
+    ("crypto", r"(?i)KeyGenerator\.getInstance\s*\(\s*['\"]DES"),
+    ("crypto", r"(?i)new\s+javax\.crypto\.spec\.SecretKeySpec\s*\([^,]+,\s*['\"]AES[^\"]*['\"],\s*['\"]GCM"),
     ("hash", r"(?i)MessageDigest\.getInstance\s*\(\s*['\"](?:MD5|SHA-?1)['\"]"),
+    ("hash", r"(?i)MessageDigest\.getInstance\s*\(\s*['\"]MD2|MD4"),
     ("crypto", r"\bmd5\s*\("),
     ("crypto", r"\bsha1\s*\("),
+    ("crypto", r"(?i)\bcrypt\s*\(\s*['\"](?:DES|md5)"),
     ("crypto", r"xor_this\s*\("),
     ("crypto", r"\bxor\s*\("),
     ("weakrand", r"mt_rand\s*\("),
     ("weakrand", r"\brand\s*\("),
+    ("weakrand", r"\$_SESSION\[['\"]last_session_id['\"]\]\+\+"),
+    ("xss", r"(?i)echo\s+['\"][^'\"]*['\"]\s*\.[\.\s]*\$_(GET|POST|REQUEST|COOKIE|FILES|SERVER)\["),
+    ("ssrf", r"(?i)header\s*\(\s*['\"]Location:\s*['\"]?\s*\.?\s*\$_(GET|POST|REQUEST|COOKIE|FILES|SERVER)\["),
+    ("shell", r"(?i)shell_exec\s*\(\s*['\"][^'\"]*['\"]\s*\.\s*\$_(GET|POST|REQUEST|COOKIE|FILES|SERVER)\["),
+    ("sql", r"(?i)\$GLOBALS\s*\[\s*['\"][^'\"]*['\"]\s*\]\s*->\s*query\s*\(\s*[\"'][^\"']*['\"]\s*\.[\.\s]+\$"),
 )
 
 #: (type, pattern, confidence)

@@ -6,7 +6,7 @@ import hashlib
 import random
 
 import __spark_entry__ as entry
-from oreline.operators import findings, graph, logs, stats
+from oreline.operators import code, findings, graph, logs, rules, stats
 
 
 def test_every_sql_has_its_query():
@@ -59,3 +59,14 @@ def test_top_similar_over_several_blocks(spark, monkeypatch):
     want = {(q, j) for q in range(0, 90, 50) for j in sorted((j for j in range(90) if j != q and cos[q, j] >= 0.3), key=lambda j: (-cos[q, j], j))[:4]}
     got = {(r.query_id, r.id) for r in stats.top_similar(df.where("id % 50 = 0"), df, 4, 0.3).collect()}
     assert got == want
+
+
+def test_weak_rules_of_every_type(spark):
+    lines = {
+        "r = java.util.Random().nextInt()": {"weakrand"}, 'KeyGenerator.getInstance("DES")': {"crypto"}, "new javax.crypto.spec.SecretKeySpec(k, 'AES', 'GCM')": {"crypto"}, 'MessageDigest.getInstance("MD2")': {"hash"}, "use md4 here": {"hash"},
+        "crypt('md5', x)": {"crypto"}, "$_SESSION['last_session_id']++": {"weakrand"}, "echo 'hi ' . $_GET['x']": {"xss"}, "header('Location: ' . $_GET['u'])": {"ssrf"}, "shell_exec('ping ' . $_POST['h'])": {"shell"},
+        "$GLOBALS['db']->query('SELECT ' . $x": {"sql"}, "echo 'hi'": set(),
+    }
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "id int, text string")
+    got = {(r.id, r.type) for r in code.typed_hits(code.lines(df, "id", "text"), "id", rules.WEAK_RULES).collect()}
+    assert len(rules.WEAK_RULES) == 21 and got == {(k, t) for k, ts in enumerate(lines.values()) for t in ts}
