@@ -14,7 +14,7 @@ def _lit(s: str) -> str:
 
 
 def _code_lines(spark: SparkSession, d: str) -> DataFrame:
-    return code.lines(table(spark, d, "training_samples").where("language in ('javascript', 'typescript', 'python')"), "id", "code")
+    return code.lines(table(spark, d, "training_samples"), "id", "code")
 
 
 def txt_t01_rules(spark: SparkSession, d: str) -> DataFrame:

@@ -70,3 +70,13 @@ def test_weak_rules_of_every_type(spark):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "id int, text string")
     got = {(r.id, r.type) for r in code.typed_hits(code.lines(df, "id", "text"), "id", rules.WEAK_RULES).collect()}
     assert len(rules.WEAK_RULES) == 21 and got == {(k, t) for k, ts in enumerate(lines.values()) for t in ts}
+
+
+def test_code_queries_read_samples_of_every_language(spark, tmp_path):
+    text = "def f() {\n  x = 1\n  y = x\n  if (y) {\n    z = y\n  }\n}"
+    rows = [(str(k), text, lang) for k, lang in enumerate(["python", "py", "JavaScript", "ts", "java", "c", "go", " ", None])] + [("none", None, "python")]
+    spark.createDataFrame(rows, "id string, code string, language string").write.parquet(str(tmp_path / "training_samples.parquet"))
+    names = "flow_d2_live flow_d3_chains flow_d4_dead flow_d4_unset flow_c1_blocks flow_c2_edges flow_c5_cyclomatic win_w5_overlap win_w9_nesting txt_t15_assignments txt_t16_scopes txt_t17_definitions"
+    for name in names.split():
+        found = {r.id for r in entry.queries()[name](spark, str(tmp_path)).select("id").collect()}
+        assert found == {str(k) for k in range(9)}, name
