@@ -1,22 +1,23 @@
 """Evaluation texts leaking into training text: latent semantic retrieval with checks.
 
-The evaluation items are a stated, small query set. Their words are the vocabulary; document frequencies of these
+The evaluation items are a stated query set, taken in blocks. Their words are the vocabulary; document frequencies of these
 words come from all documents. Documents and items are cut into passages of ``PASSAGE`` words, ``STEP`` apart, so that every
 run of ``RUN`` words lies wholly in some passage. A randomised SVD of the documents' TF-IDF passages (a Gaussian sketch
-and one power iteration, summed over partitions) gives the latent space in which passages are compared.
+and one power iteration, summed over partitions in two levels) gives the latent space in which passages are compared.
 
-The candidate search loses nothing. For passages d and q the inner product is at most
+Candidates come from the latent space alone, and the search loses nothing. For passages d and q the inner product is at most
 
     <Pd, Pq> + |d - Pd| |q - Pq|
 
 with P the projection on the latent space. Passages that share a run s of RUN words have <d, q> >= |s|^2, and |s|^2 is at
 least the smallest such value over the runs of q. So a pair whose latent cosine, with the known residuals added, stays below
-that item's own threshold cannot share a run. Candidates are then checked exactly: longest common run of words for
-verbatim leaks; longest common subsequence and the item's rarest words (its answer) for paraphrases.
+that item's own threshold cannot share a run. The higher the rank, the smaller the residuals and the fewer the candidates
+(``candidate_counts`` reports them). Each candidate pair is then compared word by word: longest common run for verbatim
+leaks; longest common subsequence and the item's rarest words (its answer) for paraphrases.
 
-Scale: documents are encoded once (word numbers, -1 outside the vocabulary) and read three times; each
-task sends one array of the vocabulary's size. Nothing about documents reaches the driver. The items are broadcast and
-must not exceed ``MAX_ITEM_WORDS`` words together.
+Scale: documents are encoded once (word numbers, -1 outside the vocabulary). Passages whose norm is below every item's threshold are left
+out without loss; the SVD and the search read only the others. Nothing about documents reaches the driver but sums over
+the items' vocabulary. A block holds about ``BLOCK_WORDS`` words of items, so what is broadcast is bounded however many items there are.
 
 Defined results
 ---------------
@@ -43,10 +44,16 @@ STEP = RUN
 PASSAGE = RUN + STEP - 1
 #: Words by which windows of the grid are widened to hold every run of PASSAGE words.
 MARGIN = STEP // 2
+#: Dimensions of the latent space of the verbatim search, and of paraphrases, which look for likeness in the large.
+SEARCH_RANK = 1_024
 RANK = 32
 OVERSAMPLE = 8
-MAX_ITEM_WORDS = 1_000_000
-BLOCK = 256
+#: Words of the items that are searched in one pass over the documents.
+BLOCK_WORDS = 40_000
+#: Rows of a matrix that are sent and summed together.
+ROWS = 64
+#: Passages from which one partial sum of the SVD comes.
+PART_PASSAGES = 65_536
 WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 
 
@@ -66,8 +73,6 @@ class Items:
     def __init__(self, rows: list[tuple[int, str | None]]):
         self.ids = [i for i, _ in rows]
         texts = [words(t) for _, t in rows]
-        if sum(map(len, texts)) > MAX_ITEM_WORDS:
-            raise ValueError(f"the items hold more than {MAX_ITEM_WORDS} words: they are no small query set")
         self.vocab = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
         self.words = [np.array([self.vocab[w] for w in t], np.int32) for t in texts]
         self.owner: list[int] = []
@@ -77,20 +82,19 @@ class Items:
                 self.owner.append(k)
                 self.passages.append(t[s : s + PASSAGE])
 
-    def vectors(self, idf: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(self.passages), len(idf)), np.float32)
+    def padded(self, none: int) -> np.ndarray:
+        """The passages as rows of PASSAGE word numbers, ``none`` after their ends."""
+        out = np.full((len(self.passages), PASSAGE), none, np.int32)
         for k, p in enumerate(self.passages):
-            np.add.at(out[k], p, idf[p])
+            out[k, : len(p)] = p
         return out
 
     def least_runs(self, idf: np.ndarray) -> np.ndarray:
         """For each passage the least squared norm of a run of RUN words in it; infinite for shorter ones."""
-        out = np.full(len(self.passages), np.inf)
-        for k, p in enumerate(self.passages):
-            for s in range(len(p) - RUN + 1):
-                w, c = np.unique(p[s : s + RUN], return_counts=True)
-                out[k] = min(out[k], float(((c * idf[w]) ** 2).sum()))
-        return out
+        n = len(idf)
+        windows = np.lib.stride_tricks.sliding_window_view(self.padded(n), RUN, axis=1)
+        norms = squared_norms(windows.reshape(-1, RUN), idf).reshape(len(windows), -1)
+        return np.where((windows == n).any(axis=2), np.inf, norms).min(axis=1)
 
 
 def encode(docs: DataFrame, vocab: dict[str, int]) -> DataFrame:
@@ -161,12 +165,46 @@ def _projected(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, weighted: n
     return (sums[end] - sums[begin]).astype(np.float32)
 
 
+def _summed(parts: DataFrame, n: int, width: int) -> np.ndarray:
+    """The sum of matrices sent as (block, part) rows: first within groups of partitions, then over the groups, so that no task
+    holds more than about the square root of all parts."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(p, np.float32).astype(np.float64) for p in pdf["part"])
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [total.astype(np.float32).tobytes()]})
+
+    kind = "block int, part binary"
+    groups = max(1, int(parts.rdd.getNumPartitions() ** 0.5))
+    some = parts.withColumn("g", F.spark_partition_id() % groups).groupBy("block", "g").applyInPandas(add, kind)
+    out = np.zeros((n, width))
+    for block, part in some.groupBy("block").applyInPandas(add, kind).collect():  # the vocabulary's size, whatever the documents
+        k = block * ROWS
+        out[k : min(k + ROWS, n)] = np.frombuffer(part, np.float32).reshape(-1, width)
+    return out
+
+
+def _scatter(total: np.ndarray, flat: np.ndarray, passage: np.ndarray, weighted: np.ndarray) -> None:
+    """Add (A'A W) of some passages, given as words and their passage numbers in order, to ``total``."""
+    if not len(flat):
+        return
+    turns = np.flatnonzero(np.diff(passage, prepend=-1))
+    z = np.add.reduceat(weighted[flat], turns, axis=0)
+    row = np.repeat(np.arange(len(turns)), np.diff(np.append(turns, len(flat))))
+    order = np.argsort(flat, kind="stable")
+    keys, first = np.unique(flat[order], return_index=True)
+    total[keys] += np.add.reduceat(z[row[order]], first, axis=0)
+
+
+def _blocks(total: np.ndarray) -> pd.DataFrame:
+    k = [b for b in range(-(-len(total) // ROWS)) if total[b * ROWS : (b + 1) * ROWS].any()]
+    return pd.DataFrame({"block": np.array(k, np.int32), "part": [total[b * ROWS : (b + 1) * ROWS].astype(np.float32).tobytes() for b in k]})
+
+
 def gram_times(encoded: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """A'A times a matrix, A being the TF-IDF vectors of the documents' passages, laid end to end: one pass over
-    the documents, one array of the vocabulary's size a partition."""
+    the documents."""
     n, width = matrix.shape
-    weighted = (matrix * idf[:, None]).astype(np.float32)
-    shared = encoded.sparkSession.sparkContext.broadcast((weighted, idf))
+    shared = encoded.sparkSession.sparkContext.broadcast(((matrix * idf[:, None]).astype(np.float32), idf))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, idf = shared.value
@@ -179,37 +217,38 @@ def gram_times(encoded: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.nd
             before = np.repeat(np.cumsum(lengths) - lengths, lengths)
             passage = (np.arange(len(flat)) - before) // PASSAGE + np.repeat(np.cumsum(-(-lengths // PASSAGE)) - -(-lengths // PASSAGE), lengths)
             known = flat >= 0
-            flat, passage = flat[known], passage[known]
-            if not len(flat):
-                continue
-            turns = np.flatnonzero(np.diff(passage, prepend=-1))
-            z = np.add.reduceat(w[flat], turns, axis=0)
-            row = np.repeat(np.arange(len(turns)), np.diff(np.append(turns, len(flat))))
-            order = np.argsort(flat, kind="stable")
-            keys, first = np.unique(flat[order], return_index=True)
-            total[keys] += np.add.reduceat(z[row[order]], first, axis=0)
-        total *= idf[:, None]
-        k = [b for b in range(0, n, BLOCK) if total[b : b + BLOCK].any()]
-        yield pd.DataFrame({"block": np.array(k, np.int32), "part": [total[b : min(b + BLOCK, n)].tobytes() for b in k]})
+            _scatter(total, flat[known], passage[known], w)
+        yield _blocks(total * idf[:, None])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(p) for p in pdf["part"])
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [total.tobytes()]})
+    return _summed(encoded.mapInPandas(run, "block int, part binary"), n, width)
 
-    kind = "block int, part binary"
-    rows = encoded.mapInPandas(run, kind).groupBy("block").applyInPandas(add, kind).collect()
-    out = np.zeros((n, width))
-    for block, part in rows:
-        out[block : min(block + BLOCK, n)] = np.frombuffer(part).reshape(-1, width)
-    return out
 
+def passages_times(passages: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The same over the rows of :func:`search_passages`."""
+    n, width = matrix.shape
+    shared = passages.sparkSession.sparkContext.broadcast(((matrix * idf[:, None]).astype(np.float32), idf))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, idf = shared.value
+        total = np.zeros((n, width))
+        for pdf in batches:
+            for raw in pdf["codes"]:
+                rows = np.frombuffer(raw, np.int32).reshape(-1, PASSAGE)
+                for k in range(0, len(rows), 512):
+                    part = rows[k : k + 512]
+                    i, c = np.nonzero(part < n)
+                    _scatter(total, part[i, c], i, w)
+        yield _blocks(total * idf[:, None])
+
+    return _summed(passages.mapInPandas(run, "block int, part binary"), n, width)
 
-def latent_basis(encoded: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
+
+def latent_basis(encoded: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7, times=gram_times) -> np.ndarray:
     """Orthonormal right singular vectors (vocabulary x rank) of the documents' TF-IDF passages."""
     n = len(idf)
     width = min(rank + OVERSAMPLE, n)
-    q, _ = np.linalg.qr(gram_times(encoded, idf, np.random.default_rng(seed).standard_normal((n, width))))
-    image = gram_times(encoded, idf, q)
+    q, _ = np.linalg.qr(times(encoded, idf, np.random.default_rng(seed).standard_normal((n, width))))
+    image = times(encoded, idf, q)
     _, vectors = np.linalg.eigh((q.T @ image + image.T @ q) / 2)
     return np.ascontiguousarray((q @ vectors[:, ::-1])[:, : min(rank, width)])
 
@@ -227,15 +266,22 @@ def squared_norms(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return out
 
 
-def run_keys(codes: np.ndarray, length: int = RUN) -> set[bytes]:
-    """The runs of ``length`` words of a passage that lie in the vocabulary, as bytes."""
-    last = np.flatnonzero(codes < 0)
-    keys, begin = set(), 0
-    for stop in [*last.tolist(), len(codes)]:
-        raw = codes[begin:stop].tobytes()
-        keys.update(raw[4 * k : 4 * (k + length)] for k in range(stop - begin - length + 1))
-        begin = stop + 1
-    return keys
+def longest_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common runs of words of many pairs, given as two arrays of rows of PASSAGE words; 0 where it is sure to be below RUN."""
+    middle = RUN - 1  # a run of RUN words covers the middle of either passage
+    good = np.flatnonzero((a == b[:, middle, None]).any(axis=1) & (b == a[:, middle, None]).any(axis=1))
+    out = np.zeros(len(a), np.int8)
+    out[good] = _longest_runs(a[good], b[good])
+    return out
+
+
+def _longest_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    row = np.zeros((len(a), b.shape[1] + 1), np.int8)
+    best = np.zeros(len(a), np.int8)
+    for k in range(a.shape[1]):
+        row[:, 1:] = (row[:, :-1] + 1) * (a[:, k, None] == b)
+        np.maximum(best, row.max(axis=1), out=best)
+    return best
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -248,11 +294,20 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _item_space(items: Items, idf: np.ndarray, basis: np.ndarray) -> dict:
-    vectors = items.vectors(idf)
-    latent = vectors @ basis.astype(np.float32)
-    total = (vectors.astype(np.float64) ** 2).sum(axis=1)
-    rest = np.sqrt(np.maximum(total - (latent.astype(np.float64) ** 2).sum(axis=1), 0))
-    return {"latent": latent, "rest": rest, "norm": np.sqrt(total), "least": items.least_runs(idf), "owner": np.array(items.owner, np.int64)}
+    weighted = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))])
+    flat = np.concatenate(items.passages)
+    ends = np.cumsum([len(p) for p in items.passages])
+    latent = np.concatenate([np.add.reduceat(weighted[flat[a:b]], np.append(0, e[:-1] - a), axis=0) for e, a, b in _runs_of(ends)])
+    total = squared_norms(items.padded(len(idf)), idf)
+    rest = np.sqrt(np.maximum(total - (latent**2).sum(axis=1), 0))
+    return {"latent": latent.astype(np.float32), "rest": rest, "norm": np.sqrt(total), "least": items.least_runs(idf), "owner": np.array(items.owner, np.int64)}
+
+
+def _runs_of(ends: np.ndarray, size: int = 1_024) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Groups of passages that lie end to end: their ends, and the first and last + 1 word of the group."""
+    for k in range(0, len(ends), size):
+        part = ends[k : k + size]
+        yield part, int(ends[k - 1]) if k else 0, int(part[-1])
 
 
 def _windows(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -262,61 +317,140 @@ def _windows(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> np
     return np.where(inside & (rows >= 0), rows, n)
 
 
-def _prepare(docs: DataFrame, eval_items: DataFrame, rank: int):
-    held = Items([(r[0], r[1]) for r in eval_items.where("item_id is not null").select("item_id", "text").orderBy("item_id").collect()])
+def item_blocks(eval_items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
+    """The items in blocks of about ``block_words`` words by a hash of their id; one block at a time is on the driver."""
+    held = eval_items.where("item_id is not null").select("item_id", "text")
+    size = held.agg(F.coalesce(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{Nd}]+"))), F.lit(0)).alias("n")).first().n
+    blocks = max(1, -(-size // block_words))
+    for k in range(blocks):
+        part = held if blocks == 1 else held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        yield Items([(r[0], r[1]) for r in part.orderBy("item_id").collect()])
+
+
+def _encoded(docs: DataFrame, held: Items) -> tuple[DataFrame, np.ndarray]:
     encoded = cut_lineage(encode(docs, held.vocab))
-    idf = inverse_frequencies(encoded, len(held.vocab))
+    return encoded, inverse_frequencies(encoded, len(held.vocab))
+
+
+def _prepare(docs: DataFrame, eval_items: DataFrame, rank: int):
+    held = next(item_blocks(eval_items, 2**62))
+    encoded, idf = _encoded(docs, held)
     basis = latent_basis(encoded, idf, rank) if len(idf) else np.zeros((0, 1))
     return held, encoded, idf, basis
 
 
-def find_leaks(docs: DataFrame, eval_items: DataFrame, rank: int = RANK) -> DataFrame:
-    """(doc_id, item_id, n_passages) of all documents and items that share RUN consecutive words."""
-    kind = "doc_id string, item_id bigint, n_passages int"
-    held, encoded, idf, basis = _prepare(docs, eval_items, rank)
-    if not held.passages or not len(idf):
-        return docs.sparkSession.createDataFrame([], kind.replace("string", "bigint"))
+def search_passages(encoded: DataFrame, idf: np.ndarray, lowest: float) -> DataFrame:
+    """(docs, codes): the passages that have RUN words of the vocabulary in a row and whose squared norm reaches ``lowest``, some hundred a row;
+    words outside the vocabulary are numbered with its size. The others share no run with any item, as |d|^2 >= |s|^2 for each run s of d."""
     n = len(idf)
-    space = _item_space(held, idf, basis)
-    weighted = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((space, weighted, idf, held.passages, held.ids))
+    shared = encoded.sparkSession.sparkContext.broadcast(idf)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        space, weighted, idf, passages, ids = shared.value
-        usable = np.flatnonzero(np.isfinite(space["least"]))
-        least, rest, latent, owner = (space[k][usable] for k in ("least", "rest", "latent", "owner"))
-        lowest = least.min() if len(usable) else np.inf
-        runs: dict[bytes, list[int]] = {}
-        for j, p in enumerate(usable):
-            for r in run_keys(passages[p]):
-                runs.setdefault(r, []).append(j)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for docs, codes in _slices(batches):
             flat, begin, end = _passages(codes)
             if not len(begin):
                 continue
             rows = _windows(flat, begin, end, n)
-            norms = squared_norms(rows, idf)
-            at = np.flatnonzero(norms >= lowest * (1 - 1e-4))  # |d|^2 is no less than |s|^2
-            if not len(at):
-                continue
-            z = _projected(flat, begin[at], end[at], weighted)
-            away = np.sqrt(np.maximum(norms[at] - (z.astype(np.float64) ** 2).sum(axis=1), 0))
-            doc_of = np.searchsorted(np.cumsum([len(starts(len(c) // 4)) for c in codes]), at, "right")
-            found: dict[tuple[int, int], int] = {}
-            for k in range(0, len(at), 2_048):
-                part = slice(k, k + 2_048)
-                bound = z[part] @ latent.T + np.outer(away[part], rest)
-                slack = 1e-3 * np.sqrt(norms[at[part]])[:, None] * space["norm"][usable][None, :]
-                near = bound + slack >= least[None, :]
-                for i in np.flatnonzero(near.any(axis=1)):
-                    w = at[k + i]
-                    # the runs of the passage among those of the items it may share one with
-                    for j in {j for r in run_keys(flat[begin[w] : end[w]]) for j in runs.get(r, ()) if near[i, j]}:
-                        pair = (int(doc_of[k + i]), int(owner[j]))
-                        found[pair] = found.get(pair, 0) + 1
-            yield pd.DataFrame([(docs[a], ids[b], c) for (a, b), c in found.items()], columns=["doc_id", "item_id", "n_passages"])
-
-    return encoded.mapInPandas(search, kind).groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), "item_id").agg(F.sum("n_passages").cast("int").alias("n_passages"))
+            known = np.cumsum(np.pad(rows < n, ((0, 0), (1, 0))), axis=1, dtype=np.int8)
+            at = np.flatnonzero((known[:, RUN:] - known[:, :-RUN] == RUN).any(axis=1))
+            at = at[squared_norms(rows[at], shared.value) >= lowest * (1 - 1e-4)]
+            if len(at):
+                doc_of = np.searchsorted(np.cumsum([len(starts(len(c) // 4)) for c in codes]), at, "right")
+                yield pd.DataFrame({"docs": [[docs[int(d)] for d in doc_of]], "codes": [rows[at].astype(np.int32).tobytes()]})
+
+    return encoded.mapInPandas(run, "docs array<string>, codes binary")
+
+
+def candidates(rows: np.ndarray, space: dict, weighted: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(passages, item passages): pairs whose latent cosine, with the residuals, allows a common run. Passages shorter than RUN words
+    have an infinite threshold and are no candidates."""
+    limit, norm, rest = (space[k].astype(np.float32) for k in ("least", "norm", "rest"))
+    for k in range(0, len(rows), 512):
+        part = rows[k : k + 512]
+        norms = squared_norms(part, idf)
+        z = np.add.reduceat(weighted[part.ravel()], np.arange(0, part.size, PASSAGE), axis=0)
+        away = np.sqrt(np.maximum(norms - (z.astype(np.float64) ** 2).sum(axis=1), 0))
+        bound = z @ space["latent"].T
+        bound += np.outer(away.astype(np.float32), rest)
+        bound += np.outer((1e-3 * np.sqrt(norms)).astype(np.float32), norm)  # rounding
+        i, j = np.nonzero(bound >= limit[None, :])
+        yield k + i, j
+
+
+def _searched(docs: DataFrame, held: Items, rank: int):
+    """The passages to search, what the searching tasks need of the items, and the basis; None where nothing can be found."""
+    if not held.passages:
+        return None
+    encoded, idf = _encoded(docs, held)
+    least = held.least_runs(idf)
+    if not np.isfinite(least).any():
+        return None
+    passages = cut_lineage(search_passages(encoded, idf, float(least.min())))
+    total = passages.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0)).alias("n")).first().n
+    basis = latent_basis(passages.repartition(max(1, -(-total // PART_PASSAGES))), idf, rank, times=passages_times)
+    space = _item_space(held, idf, basis)
+    weighted = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
+    return passages, docs.sparkSession.sparkContext.broadcast((space, weighted, idf, held.padded(-1), held.ids))
+
+
+def candidate_counts(docs: DataFrame, eval_items: DataFrame, rank: int = SEARCH_RANK) -> DataFrame:
+    """(n_passages, n_item_passages, n_candidates, n_runs): how many pairs the latent search passes on, and how many of them share a run."""
+    kind = "n_passages bigint, n_item_passages bigint, n_candidates bigint, n_runs bigint"
+    out = docs.sparkSession.createDataFrame([], kind)
+    for held in item_blocks(eval_items):
+        searched = _searched(docs, held, rank)
+        if searched is None:
+            continue
+        passages, shared = searched
+
+        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            space, weighted, idf, padded, _ = shared.value
+            n = [0, 0, 0]
+            for pdf in batches:
+                for raw in pdf["codes"]:
+                    rows = np.frombuffer(raw, np.int32).reshape(-1, PASSAGE)
+                    n[0] += len(rows)
+                    for i, j in candidates(rows, space, weighted, idf):
+                        n[1] += len(i)
+                        n[2] += sum(int((longest_runs(rows[i[e : e + 4_096]], padded[j[e : e + 4_096]]) >= RUN).sum()) for e in range(0, len(i), 4_096))
+            yield pd.DataFrame({"n_passages": [n[0]], "n_item_passages": [len(padded)], "n_candidates": [n[1]], "n_runs": [n[2]]})
+
+        out = out.unionByName(passages.mapInPandas(count, kind))
+    return out.agg(F.sum("n_passages").alias("n_passages"), F.max("n_item_passages").alias("n_item_passages"), F.sum("n_candidates").alias("n_candidates"), F.sum("n_runs").alias("n_runs"))
+
+
+def find_leaks(docs: DataFrame, eval_items: DataFrame, rank: int = SEARCH_RANK, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id, n_passages) of all documents and items that share RUN consecutive words; n_passages counts the pairs of passages that do."""
+    kind = "doc_id string, item_id bigint, n_passages int"
+    found = None
+    for held in item_blocks(eval_items, block_words):
+        searched = _searched(docs, held, rank)
+        if searched is None:
+            continue
+        passages, shared = searched
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            space, weighted, idf, padded, ids = shared.value
+            for pdf in batches:
+                for docs, raw in zip(pdf["docs"], pdf["codes"]):
+                    rows = np.frombuffer(raw, np.int32).reshape(-1, PASSAGE)
+                    hits: dict[tuple[int, int], int] = {}
+                    name: dict[str | None, int] = {}
+                    place = np.array([name.setdefault(x, len(name)) for x in docs])
+                    for i, j in candidates(rows, space, weighted, idf):
+                        for e in range(0, len(i), 4_096):
+                            ie, je = i[e : e + 4_096], j[e : e + 4_096]
+                            good = longest_runs(rows[ie], padded[je]) >= RUN
+                            for pair in zip(place[ie[good]].tolist(), space["owner"][je[good]].tolist()):
+                                hits[pair] = hits.get(pair, 0) + 1
+                    who = list(name)
+                    yield pd.DataFrame([(who[a], ids[b], c) for (a, b), c in hits.items()], columns=["doc_id", "item_id", "n_passages"])
+
+        part = passages.mapInPandas(search, kind)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], kind.replace("string", "bigint"))
+    return found.groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), "item_id").agg(F.sum("n_passages").cast("int").alias("n_passages"))
 
 
 def answer_words(passages: list[np.ndarray], idf: np.ndarray, rare: float, least_rare: int) -> tuple[list[np.ndarray], list[np.ndarray]]:

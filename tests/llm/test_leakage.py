@@ -53,6 +53,63 @@ def test_no_link_is_lost_at_any_rank(spark, seed, rank):
     assert want and search(spark, docs, items, rank=rank) == want
 
 
+def planted(seed=5, n_docs=40):
+    """Documents and items of one vocabulary: runs, permuted runs and unrelated texts."""
+    rng = random.Random(seed)
+    text = lambda n: [rng.choice(COMMON) if rng.random() < 0.5 else f"rare{rng.randrange(200)}" for _ in range(n)]
+    items = [(i, " ".join(text(40))) for i in range(30)]
+    docs = [(d, " ".join([*text(30), *rng.choice(items)[1].split()[5 : 18 + d % 9], *text(30)])) for d in range(n_docs)]
+    return docs, items
+
+
+def test_rows_come_from_the_latent_candidates(spark, monkeypatch):
+    """Without the SVD (a basis of zeros) the bound lets most pairs through; with the latent space but without its candidates nothing is found."""
+    docs, items = planted()
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    with_space = leakage.candidate_counts(d, e, 128).first()
+    monkeypatch.setattr(leakage, "latent_basis", lambda encoded, idf, rank=1, seed=7, times=None: np.zeros((len(idf), 1)))
+    without = leakage.candidate_counts(d, e, 128).first()
+    assert with_space.n_runs == without.n_runs > 0 and with_space.n_candidates < 0.5 * without.n_candidates
+    monkeypatch.undo()
+    spaces = leakage._item_space
+    monkeypatch.setattr(leakage, "_item_space", lambda *a: spaces(*a) | {"latent": np.zeros_like(spaces(*a)["latent"]), "rest": np.zeros_like(spaces(*a)["rest"]), "norm": np.zeros_like(spaces(*a)["norm"])})
+    assert leakage.find_leaks(d, e, 128).count() == 0
+
+
+def test_items_in_blocks_give_the_same(spark):
+    docs, items = planted(6)
+    assert search(spark, docs, items, block_words=200) == search(spark, docs, items) == brute(docs, items)
+
+
+def test_sums_in_two_levels(spark):
+    docs, items = planted(7)
+    held = leakage.Items(items)
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(9)
+    encoded, idf = leakage._encoded(d, held)
+    m = np.random.default_rng(0).standard_normal((len(idf), 3))
+    want = np.zeros_like(m)
+    for _, c in encoded.collect():
+        c = np.frombuffer(c, np.int32)
+        for k in range(0, len(c), leakage.PASSAGE):
+            w = c[k : k + leakage.PASSAGE]
+            v = np.zeros(len(idf))
+            np.add.at(v, w[w >= 0], idf[w[w >= 0]])
+            want += np.outer(v, v @ m)
+    assert np.allclose(leakage.gram_times(encoded, idf, m), want, rtol=1e-3, atol=1e-2)
+
+
+def test_longest_runs():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 3, (200, leakage.PASSAGE)), rng.integers(0, 3, (200, leakage.PASSAGE))
+    for k in range(0, 200, 2):
+        n, i, j = rng.integers(10, 20), rng.integers(0, 6), rng.integers(0, 6)
+        b[k, j : j + n] = a[k, i : i + n]
+    got = leakage.longest_runs(a, b)
+    for k in range(200):
+        best = max((n for i in range(25) for j in range(25) for n in range(1, 26 - max(i, j)) if (a[k, i : i + n] == b[k, j : j + n]).all()), default=0)
+        assert (got[k] >= leakage.RUN) == (best >= leakage.RUN)
+
+
 def test_edges(spark):
     run = " ".join(f"Wort{k}é" for k in range(13))
     docs = [(1, run), (1, run), (None, run), (2, None), (3, ""), (4, run.replace(" ", "_")), (5, "x " * 5_000 + run.lower()), (6, " ".join(run.split()[:12]))]
