@@ -50,7 +50,7 @@ ISSUED = re.compile(
     r"|glpat-[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{36}"
     r"|eyJ[A-Za-z0-9_=-]{8,}\.eyJ[A-Za-z0-9_=-]{2,}\.[A-Za-z0-9_=-]+"
 )
-PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----((?:(?!-----)[\s\S])*)(?:-----END|$)")
+PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----((?:(?!-----)[\s\S])*+)(?:-----END|$)")
 KEY_BODY = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
 
 CORE = re.compile(
@@ -63,21 +63,24 @@ LAST_PAIRS = {(a, "key") for a in ("api", "access", "account", "private", "secre
 TRAILING = {"prod", "production", "dev", "test", "staging", "live", "old", "new", "value", "val", "str", "string", "literal", "plain", "default"}
 GETTERS = {"get", "read", "load", "fetch", "find", "lookup", "resolve", "input", "prompt", "ask", "env", "getenv", "is", "has", "check", "verify", "validate", "trim", "strip", "hash", "require", "from", "parse", "decode", "getpass"}
 
-QUOTED = r"""(?P<q>\\?["'`]{1,3})(?P<val>(?:(?!(?P=q))[^\n]){1,4000}?)(?P=q)"""
-ASSIGNED = re.compile(r"""\\?["'`\]]{0,2}\s{0,8}(?::=|=>|===?|=|:)\s{0,8}(?:[bfru]{0,2}""" + QUOTED + r"""|(?P<bare>[^\s"'`<>,;(){}\[\]|&]+)(?P<call>[(\[{]?))""")
-LISTED = re.compile(r"""\\?["'`]\s{0,8},\s{0,8}""" + QUOTED)
-CALLED = re.compile(r"""\s{0,4}\(\s{0,4}""" + QUOTED)
-PAIRED = re.compile(r"""\s{0,8}(?::=|=|:)\s{0,8}[\[(]\s{0,8}(?:"[^"\n]*"|'[^'\n]*')\s{0,8},\s{0,8}""" + QUOTED)
-TAGGED = re.compile(r""">\s{0,8}(?P<val>[^<>\s]+)\s{0,8}</""")
-OPTION = re.compile(r"""\s{1,8}(?:""" + QUOTED + r"""|(?P<bare>[^\s"'`<>;(){}|&]+)(?P<call>[(]?))""")
+# Quantifiers over texts of any length are possessive: every scan is linear.
+QUOTED = r"""(?P<q>\\?["'`]{1,3})(?P<val>(?:(?!(?P=q))[^\n])++)(?P=q)"""
+ASSIGNED = re.compile(r"""\\?["'`\]]{0,2}\s*+(?::=|=>|===?|=|:)\s*+(?:[bfru]{0,2}""" + QUOTED + r"""|(?P<bare>[^\s"'`<>,;(){}\[\]|&]++)(?P<call>[(\[{]?))""")
+LISTED = re.compile(r"""\\?["'`]\s*+,\s*+""" + QUOTED)
+CALLED = re.compile(r"""\s*+\(\s*+""" + QUOTED)
+PAIRED = re.compile(r"""\s*+(?::=|=|:)\s*+[\[(]\s*+(?:"[^"\n]*+"|'[^'\n]*+')\s*+,\s*+""" + QUOTED)
+TAGGED = re.compile(r""">\s*+(?P<val>[^<>\s]++)\s*+</""")
+OPTION = re.compile(r"""\s++(?:""" + QUOTED + r"""|(?P<bare>[^\s"'`<>;(){}|&]++)(?P<call>[(]?))""")
 SCHEME = re.compile(r"(?i)^(?:basic|bearer|token|digest|apikey)\s+")
-IN_URL = re.compile(r"://[^\s/:@\"'<>]{0,200}:(?P<val>[^\s/@\"']{1,400})@")
+IN_URL = re.compile(r"://[^\s/:@\"'<>]*+:(?P<val>[^\s/@\"']++)@")
 SHORT_P = re.compile(r"""(?<![\w-])-p\s?(?:(?P<q>["'])(?P<val>[^"'\n]+)(?P=q)|(?P<bare>[^\s"'`<>;(){}|&/-][^\s"'`<>;(){}|&]*))""")
-SHORT_U = re.compile(r"""(?<![\w-])(?:-u|--user)[\s=]{1,4}["']?[^\s:"'$]+:(?P<val>[^\s"']+)""")
+SHORT_U = re.compile(r"""(?<![\w-])(?:-u|--user)[\s=]++["']?[^\s:"'$]++:(?P<val>[^\s"']++)""")
 #: Unquoted access to a member: a variable or a look-up, no literal.
 MEMBER = re.compile(r"^[A-Za-z_$][\w$]*(?:(?:\??\.|->|::)[A-Za-z_$][\w$]*)+;?$")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PERCENT_CODE = re.compile(r"%[0-9A-Fa-f]{2}")
+#: A percent sign that was itself encoded, any number of times.
+PERCENT_AGAIN = re.compile(r"%(?:25)++(?=[0-9A-Fa-f]{2})")
 #: Runs that may hold percent codes; those with fewer than two are passed over.
 PERCENT = re.compile(r"[^\s\"'`<>]+")
 
@@ -106,9 +109,17 @@ def dictionary(path: str = tokens.VOCABULARY) -> dict[str, float]:
 
 
 @functools.lru_cache(maxsize=200_000)
+def _unexplained_word(letters: str, path: str) -> int:
+    return _segmented(letters, path)
+
+
 def unexplained(letters: str, path: str = tokens.VOCABULARY) -> int:
     """Letters of a run that the cheapest segmentation into words leaves over. A word is written in lower case, in capitals or
     with a capital first letter; other mixtures explain nothing."""
+    return _unexplained_word(letters, path) if len(letters) <= 64 else _segmented(letters, path)
+
+
+def _segmented(letters: str, path: str) -> int:
     words, n = dictionary(path), len(letters)
     low = letters.lower()
     cost, over = [0.0] * (n + 1), [0] * (n + 1)
@@ -134,10 +145,7 @@ def residual(value: str, path: str = tokens.VOCABULARY) -> int:
         if run[0].isdigit():
             digits += len(run)
         elif run[0].isalpha() and run.isascii():
-            if len(run) <= 4_000:
-                out += unexplained(run, path)
-            else:
-                out += len(run)
+            out += unexplained(run, path)
         else:
             marks += sum(c not in "_-./ :,\\" for c in run)
     mixed = digits and any(c.isalpha() for c in value)
@@ -163,11 +171,14 @@ def is_hash(value: str) -> bool:
 
 def is_secret(value: str, least: int = RESIDUAL, path: str = tokens.VOCABULARY) -> bool:
     """Whether a literal in a credential context is a live credential."""
-    if len(value) < 5 or PLACEHOLDER.search(value) or is_hash(value) or value.replace(".", "").isdigit():
+    if PLACEHOLDER.search(value) or is_hash(value) or value.replace(".", "").isdigit():
         return False
-    if "PUBLIC KEY" in value or value.startswith(("http://", "https://", "/", "./", "~/", "ssh-rsa ", "ssh-ed25519 ")) and ":" not in value[8:]:
+    if "PUBLIC KEY" in value or value.startswith(("http://", "https://", "ssh-rsa ", "ssh-ed25519 ")) and ":" not in value[8:]:
         return False
-    return residual(value, path) >= least
+    left = residual(value, path)
+    if value.startswith(("/", "./", "~/")) and ":" not in value[8:] and 2 * left < len(value):
+        return False  # a path: mostly words
+    return left >= least
 
 
 def decoded(raw: str) -> str | None:
@@ -206,11 +217,10 @@ def _contexts(text: str) -> Iterator[tuple[str, int, int, int]]:
         if m.start() < seen:
             continue
         a = m.start()
-        floor = max(0, a - 80)
+        floor = max(0, seen)
         while a > floor and (text[a - 1].isalnum() or text[a - 1] in "_$.-"):
             a -= 1
         b = NAME.match(text, m.end()).end()
-        b = min(b, m.end() + 80)
         seen = b
         while b > m.end() and text[b - 1] in ".-":
             b -= 1
@@ -234,7 +244,12 @@ def _contexts(text: str) -> Iterator[tuple[str, int, int, int]]:
                 yield x[0], x[1], x[2], least
 
 
-def find(text: str | None, path: str = tokens.VOCABULARY, depth: int = 2) -> list[tuple[int, int, str]]:
+def percent_decoded(raw: str) -> str:
+    """The text behind percent codes, also where they were encoded more than once."""
+    return unquote(PERCENT_AGAIN.sub("%", raw))
+
+
+def find(text: str | None, path: str = tokens.VOCABULARY) -> list[tuple[int, int, str]]:
     """(first, last + 1, kind) of every secret of a text, in order and not overlapping."""
     if not text:
         return []
@@ -256,14 +271,13 @@ def find(text: str | None, path: str = tokens.VOCABULARY, depth: int = 2) -> lis
                 out.append((a, b, "encoded"))
         elif is_secret(value, least, path):
             out.append((a, b, "literal"))
-    if depth:
-        for form, decode in ((ENCODED, decoded), *(((PERCENT, unquote),) if "%" in text else ())):
-            for m in form.finditer(text):
-                if form is PERCENT and len(PERCENT_CODE.findall(m[0])) < 2:
-                    continue
-                plain = decode(m[0])
-                if plain and plain != m[0] and find(plain, path, depth - 1):
-                    out.append((m.start(), m.end(), "encoded"))
+    for form, decode in ((ENCODED, decoded), *(((PERCENT, percent_decoded),) if "%" in text else ())):
+        for m in form.finditer(text):
+            if form is PERCENT and len(PERCENT_CODE.findall(m[0])) < 2:
+                continue
+            plain = decode(m[0])  # shorter than m[0], so that nested encodings end
+            if plain and len(plain) < len(m[0]) and find(plain, path):
+                out.append((m.start(), m.end(), "encoded"))
     out.sort(key=lambda x: (x[0], -x[1]))
     kept: list[tuple[int, int, str]] = []
     for a, b, kind in out:

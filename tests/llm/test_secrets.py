@@ -59,6 +59,35 @@ def test_very_long_texts():
     assert [x[2] for x in secrets.find(text)] == ["literal"]
 
 
+def test_no_length_and_no_depth_hides_a_secret():
+    long = "Zt8QwLr2" * 600
+    deep = f'password="{KEY}"'
+    for _ in range(6):
+        deep = base64.b64encode(deep.encode()).decode()
+    percent = f"password%3D%22{KEY}%22"
+    for _ in range(5):
+        percent = percent.replace("%", "%25")
+    texts = [
+        f'password = "{long}"', f'password{" " * 300}={" " * 300}"{PASS}"', "x_" * 200 + f'password = "{PASS}"', 'password = "' + "Qz" * 5_000 + '"', f"x://{'a' * 500}:{long}@host", f"data: {deep}", f"q={percent}", 'pin_token = "x9K!"',
+        "aws_secret_access_key = /wraYLwFj/JIKeHbJsLTEmtDK8NuL42TmdtbGwFr",
+    ]
+    for text in texts:
+        assert secrets.find(text), text[:60]
+        assert not secrets.find(secrets.redact(text))
+    assert not secrets.find("secret = /run/secrets/db_password") and not secrets.find("token: ./config/token.json")
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    began = time.time()
+    secrets.find("token = " + "'" * 3 + "x" * 300_000)
+    secrets.find('token="' * 40_000)
+    secrets.find("%25" * 100_000)
+    secrets.find("password " + "=" * 100_000 + " " * 100_000)
+    assert time.time() - began < 30
+
+
 def test_frames(spark):
     rows = [(1, f'password = "{PASS}"', None, "clash"), (1, f'password = "{PASS}"', None, "clash"), (2, None, "", "clash"), (None, "x = 1", f"token={KEY}", "clash")]
     df = spark.createDataFrame(rows, "raw_id bigint, code_snippet string, stdout_log string, text string")
