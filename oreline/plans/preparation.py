@@ -1,11 +1,11 @@
-"""Queries p2, p3, p4 and p6 over the test tables, with their SQL."""
+"""Queries p2, p3 and p6 over the test tables, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreline.operators import features, orphans, snapshots, survivors
+from oreline.operators import features, orphans, snapshots
 from oreline.session import table
 
 REF_FIELDS = {"finding_id": "findings", "target_id": "targets", "project_id": "projects"}
@@ -45,14 +45,6 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(refs, orphans.orphans(refs, held))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.best_representatives(table(spark, d, "raw_findings")).select("group_id", "best_id")
-
-
-def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.best_representatives(table(spark, d, "raw_findings"))
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, d, "raw_findings"), table(spark, d, "scan_runs"))
 
@@ -61,7 +53,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.change_counts(p6_found(spark, d), table(spark, d, "scan_runs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_long, p2_features, p3_found, p3_report, p4_found, p4_survivors, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_long, p2_features, p3_found, p3_report, p6_found, p6_counts)}
 
 _STRIP = r"regexp_replace({0}, '^[\s\x{{85}}\x{{a0}}]+|[\s\x{{85}}\x{{a0}}]+$', '', 'g')"
 _ISO = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s?([Zz]|[+-]\d{2}(:?\d{2})?)?$"
@@ -86,17 +78,6 @@ _ORPHANS = f"""
   SELECT r.* FROM refs r WHERE NOT EXISTS (
    SELECT 1 FROM held h WHERE h.ref_table = r.ref_table AND h.key = r.key AND h.f <= r.moment AND (h.u IS NULL OR h.u > r.moment)))"""
 _PATH = r"array_to_string(list_filter(string_split(replace({0}, '\', '/'), '/'), lambda x: x <> '' AND x <> '.'), '/')"
-_FILLED = "({0} IS NOT NULL AND lower(trim({0})) NOT IN ('', 'n/a', 'none', 'unknown', '-'))::int"
-_BEST = f"""
- k AS (
-  SELECT scan_run_id, lower(rule_id) AS rule, {_PATH.format('file_path')} AS path, start_line, raw_id, reported_at,
-   {' + '.join(_FILLED.format(c) for c in ('description', 'severity', 'confidence', 'code_snippet'))} + (end_line IS NOT NULL)::int + (coalesce(len(cwe_ids), 0) > 0)::int AS n_filled,
-   CASE lower(trim(confidence)) WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS conf
-  FROM raw_findings WHERE rule_id IS NOT NULL AND file_path IS NOT NULL AND start_line IS NOT NULL AND scan_run_id IS NOT NULL),
- r AS (
-  SELECT *, min(raw_id) OVER g AS group_id, count(*) OVER g AS n,
-   row_number() OVER (PARTITION BY scan_run_id, rule, path, start_line ORDER BY n_filled DESC, reported_at DESC NULLS LAST, conf DESC, raw_id) AS rn
-  FROM k WINDOW g AS (PARTITION BY scan_run_id, rule, path, start_line))"""
 _CHANGES = f"""
  held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM scan_runs) WHERE rn = 1),
  snap AS (
@@ -124,7 +105,6 @@ SQL = {
  n AS (SELECT ref_table, strftime(moment AT TIME ZONE 'UTC', '%Y-%m') AS month, count(DISTINCT (poc_run_id, ref_field)) AS n_refs FROM refs GROUP BY 1, 2),
  m AS (SELECT ref_table, strftime(moment AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n_orphans FROM missed GROUP BY 1, 2)
  SELECT n.ref_table, n.month, n_refs, coalesce(n_orphans, 0) AS n_orphans, round(coalesce(n_orphans, 0) / n_refs, 6) AS rate FROM n LEFT JOIN m ON n.ref_table = m.ref_table AND n.month IS NOT DISTINCT FROM m.month""",
-    "p4_found": f"WITH {_BEST} SELECT group_id, raw_id AS best_id FROM r WHERE rn = 1 AND n > 1",
     "p6_found": f"WITH {_CHANGES} SELECT * FROM changes",
     "p6_counts": f"""WITH {_CHANGES},
  per AS (SELECT scan_run_id, count(*) FILTER (WHERE change_kind = 'added') AS n_added, count(*) FILTER (WHERE change_kind = 'removed') AS n_removed, count(*) FILTER (WHERE change_kind = 'changed') AS n_changed FROM changes GROUP BY 1)

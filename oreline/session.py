@@ -51,12 +51,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; only where that is unset (tests,
-    single machine) fall back to a temporary folder."""
+    """Use the shared folder named in ``spark.checkpoint.dir``. Where that is unset, a local master (tests, one machine) gets a
+    temporary folder; on a cluster a folder of one machine would be lost with it, so that the setting is required there."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="oreline-checkpoint-"))
 
 
