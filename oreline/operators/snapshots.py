@@ -1,15 +1,15 @@
 """What changed between consecutive full snapshots.
 
 Every snapshot is summarised by invertible Bloom lookup tables, one per hash bucket of its keys. A cell
-holds a signed count and XORs of key hash, value digest and check hash; the later snapshot is inserted with
-sign +1 and the earlier with -1 in the same aggregation, so that what both hold cancels before the shuffle
-ends. Each difference table is peeled; buckets whose peeling fails are built again with four times the
-cells, and what still fails after ``MAX_ROUNDS`` is compared in full, so no difference is ever lost.
-Recovered key hashes are looked up in the snapshots and their digests verified before they are classified.
+holds a signed count and XORs of key hash, state digest and check hash; the later snapshot is inserted with
+sign +1 and the earlier with -1 in the same aggregation, so that what both hold cancels. Each difference table is peeled; buckets
+whose peeling fails are built again with four times the cells, and what still fails after ``MAX_ROUNDS`` is compared in full, so no
+difference is ever lost. Recovered hashes are looked up in the snapshots and their digests verified before the keys are classified; a bucket
+with a hash that is not found there is compared in full too.
 
-Scale: cells are sums and XORs of longs (hash aggregation with map-side combine). A bucket holds about
-``BUCKET_RECORDS`` records whatever the size of the snapshot, so one project with a third of all rows is
-spread over many buckets; a peeling task sees one bucket's cells, never its records.
+Scale: the findings are moved once, to (project, stretch of runs, bucket); records, cells and tables are all aggregated there, where the
+records of consecutive runs meet. A place holds about ``BUCKET_RECORDS`` records of at most ``STRETCH`` runs whatever the size and number of
+a project's snapshots, so one with a third of all rows is spread over many places; a peeling task sees cells, never records.
 
 Defined results
 ---------------
@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +35,7 @@ from oreline.functions.text import clean_path, service_severity_rank
 from oreline.session import cut_lineage
 
 BUCKET_RECORDS = 256
+STRETCH = 64
 HASHES = 3
 FIRST_CELLS = 36
 GROWTH = 4
@@ -51,39 +53,60 @@ def snapshot_pairs(runs: DataFrame) -> DataFrame:
     """(run_id, project_id, prev_id, next_id) of the finished full runs in their project's order."""
     full = latest_runs(runs).where("status = 'done' and incremental_mode = 'full' and started_at is not null and project_id is not null")
     w = Window.partitionBy("project_id").orderBy("started_at", "id")
-    return full.select(F.col("id").alias("run_id"), "project_id", F.lag("id").over(w).alias("prev_id"), F.lead("id").over(w).alias("next_id"), *[c for c in ("findings_new", "findings_fixed") if c in full.columns])
+    return full.select(F.col("id").alias("run_id"), "project_id", "started_at", F.lag("id").over(w).alias("prev_id"), F.lead("id").over(w).alias("next_id"), *[c for c in ("findings_new", "findings_fixed") if c in full.columns])
 
 
-def snapshot_records(raw: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """One row per snapshot and record with key hash ``h`` and state digest ``d``."""
-    rows = raw.select("scan_run_id", F.lower("rule_id").alias("rule_id"), clean_path("file_path").alias("file_path"), "start_line", service_severity_rank("severity").alias("sev"))
-    per = rows.join(snapshots.select(F.col("run_id").alias("scan_run_id"), "prev_id", "next_id"), "scan_run_id").groupBy("scan_run_id", "rule_id", "file_path").agg(
-        F.first("prev_id").alias("prev_id"), F.first("next_id").alias("next_id"), F.min("start_line").alias("lo"), F.max("start_line").alias("hi"), F.max("sev").alias("sev")
-    )
+def placed_runs(raw: DataFrame, snapshots: DataFrame, first_cells: int = FIRST_CELLS) -> DataFrame:
+    """The snapshots with the number of buckets of their project, the stretches of the pairs they belong to, and the size of each pair's tables.
+
+    Findings are counted per run, which bounds the records; only sizes depend on it, never results."""
+    sizes = raw.groupBy(F.col("scan_run_id").alias("run_id")).agg(F.count(F.lit(1)).alias("n"))
+    w, whole = Window.partitionBy("project_id").orderBy("started_at", "run_id"), Window.partitionBy("project_id")
+    counted = snapshots.join(sizes, "run_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    buckets = F.greatest(F.lit(1), F.ceil(F.max("n").over(whole) / BUCKET_RECORDS)).cast("bigint")
+    ordered = counted.withColumn("b", buckets).withColumn("own", ((F.row_number().over(w) - 1) / STRETCH).cast("int")).withColumn("surely", F.abs(F.col("n") - F.lag("n", 1, 0).over(w)) / F.col("b"))
+    # the least by which a bucket's tables are likely to differ
+    cells = F.when(F.col("surely") > first_cells / 3, F.ceil(F.col("surely") / first_cells * 2) * GROWTH * first_cells).otherwise(first_cells).cast("bigint")
+    ordered = ordered.withColumn("own_m", cells)
+    return ordered.select("run_id", "project_id", F.col("prev_id").isNotNull().alias("follows"), "next_id", "b", "own", "own_m", F.lead("own").over(w).alias("next"), F.lead("own_m").over(w).alias("next_m"))
+
+
+RECORD = ("project_id", "stretch", "bucket", "run_id", "follows", "next_id", "own", "own_m", "next", "next_m", "h", "rule_id", "file_path")
+
+
+def snapshot_records(raw: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row per snapshot, record and stretch of runs, at its place, with key hash ``h`` and state digest ``d``."""
+    rows = raw.select(F.col("scan_run_id").alias("run_id"), F.lower("rule_id").alias("rule_id"), clean_path("file_path").alias("file_path"), "start_line", service_severity_rank("severity").alias("sev"))
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))  # noqa: E731  null differs from ''
-    return per.withColumn("h", F.xxhash64(part("rule_id"), part("file_path"))).withColumn("d", F.xxhash64(F.coalesce("lo", F.lit(-1)), F.coalesce("hi", F.lit(-1)), "sev"))
+    hashed = rows.withColumn("h", F.xxhash64(part("rule_id"), part("file_path")))
+    sides = F.filter(F.array_distinct(F.array(F.when(F.col("follows"), F.col("own")), F.col("next"))), lambda x: x.isNotNull())
+    there = hashed.join(placed, "run_id").withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(11)), F.col("b"))).withColumn("stretch", F.explode(sides)).drop("b")
+    per = there.repartition("project_id", "stretch", "bucket").groupBy(*RECORD).agg(F.min("start_line").alias("lo"), F.max("start_line").alias("hi"), F.max("sev").alias("sev"))
+    # the digest speaks of the key as well: with h it has 128 bits
+    return per.withColumn("d", F.xxhash64(F.coalesce("lo", F.lit(-1)), F.coalesce("hi", F.lit(-1)), "sev", part("file_path"), part("rule_id"))).drop("lo", "hi", "sev")
+
+
+PLACE = ("project_id", "stretch", "bucket", "pair")
 
 
 def signed_elements(records: DataFrame) -> DataFrame:
-    """Each record under its own run with sign +1 and under the next run with sign -1."""
+    """Each record under its own run with sign +1 and under the next run with sign -1, with the size ``m`` of the pair's tables."""
     sides = F.array(
-        F.struct(F.when(F.col("prev_id").isNotNull(), F.col("scan_run_id")).alias("pair"), F.lit(1).alias("sign")),
-        F.struct(F.col("next_id").alias("pair"), F.lit(-1).alias("sign")),
+        F.when(F.col("follows") & (F.col("own") == F.col("stretch")), F.struct(F.col("run_id").alias("pair"), F.lit(1).alias("sign"), F.col("own_m").alias("m"))),
+        F.when(F.col("next") == F.col("stretch"), F.struct(F.col("next_id").alias("pair"), F.lit(-1).alias("sign"), F.col("next_m").alias("m"))),
     )
-    return records.select("rule_id", "file_path", "h", "d", F.explode(sides).alias("s")).select("s.pair", "s.sign", "rule_id", "file_path", "h", "d").where("pair is not null")
+    return records.withColumn("s", F.explode(F.filter(sides, lambda x: x.isNotNull()))).select("project_id", "stretch", "bucket", "s.pair", "s.sign", "s.m", "rule_id", "file_path", "h", "d")
 
 
 def difference_cells(elements: DataFrame) -> DataFrame:
-    """Subtracted lookup tables: one row per (pair, bucket) with its cells that are not zero.
-
-    ``elements`` carries ``bucket`` and the table's number of cells ``m``."""
+    """Subtracted lookup tables: one row per pair and bucket with its cells that are not zero. ``m`` is the table's number of cells."""
     check = F.xxhash64("h", "d", F.lit(7))
     third = F.expr(f"m div {HASHES}").cast("long")
     places = F.array(*(F.pmod(F.xxhash64("h", "d", F.lit(100 + j)), third) + third * j for j in range(HASHES)))
-    cells = elements.select("pair", "bucket", "m", "sign", "h", "d", check.alias("c"), F.explode(places).alias("cell")).groupBy("pair", "bucket", "m", "cell").agg(
+    cells = elements.select(*PLACE, "m", "sign", "h", "d", check.alias("c"), F.explode(places).alias("cell")).groupBy(*PLACE, "m", "cell").agg(
         F.sum("sign").alias("n"), F.bit_xor("h").alias("h"), F.bit_xor("d").alias("d"), F.bit_xor("c").alias("c")
     ).where("n != 0 or h != 0 or d != 0 or c != 0")
-    return cells.groupBy("pair", "bucket", "m").agg(F.collect_list(F.struct("cell", "n", "h", "d", "c")).alias("cells"))
+    return cells.groupBy(*PLACE, "m").agg(F.collect_list(F.struct("cell", "n", "h", "d", "c")).alias("cells"))
 
 
 def peel(cells: list, places) -> tuple[list[tuple[int, int, int]], bool]:
@@ -144,10 +167,13 @@ def spark_xxhash64(h: int, d: int, last: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+PEELED = "project_id string, stretch int, bucket bigint, pair string, h bigint, d bigint, sign int"
+
+
 def _peel_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for pair, bucket, m, cells in pdf.itertuples(index=False):
+        for *place, m, cells in pdf.itertuples(index=False):
             third = m // HASHES
 
             def places(h: int, d: int, c: int, third: int = third):
@@ -157,53 +183,52 @@ def _peel_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
             found, emptied = peel(cells, places)
             if emptied:
-                rows += [(pair, bucket, h, d, n) for h, d, n in found]
+                rows += [(*place, h, d, n) for h, d, n in found]
             else:
-                rows.append((pair, bucket, None, None, 0))
-        yield pd.DataFrame({
-            "pair": pd.Series([r[0] for r in rows], dtype=object), "bucket": pd.Series([r[1] for r in rows], dtype="int64"),
-            "h": pd.Series([r[2] for r in rows], dtype="Int64"), "d": pd.Series([r[3] for r in rows], dtype="Int64"), "sign": pd.Series([r[4] for r in rows], dtype="int32"),
-        })
-
+                rows.append((*place, None, None, 0))
+        kinds = {"project_id": object, "stretch": "int32", "bucket": "int64", "pair": object, "h": "Int64", "d": "Int64", "sign": "int32"}
+        yield pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=t) for k, (c, t) in enumerate(kinds.items())})
 
-PEELED = "pair string, bucket bigint, h bigint, d bigint, sign int"
 
-
-def changed_elements(elements: DataFrame, sizes: DataFrame, first_cells: int = FIRST_CELLS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(pair, h, d, sign) of all elements that only one snapshot of a pair holds.
-
-    ``sizes`` has (pair, n_later, n_earlier). Buckets and first table sizes follow from them."""
-    larger = F.greatest("n_later", "n_earlier")
-    n_buckets = F.greatest(F.lit(1), F.ceil(larger / BUCKET_RECORDS)).cast("bigint")
-    surely = F.abs(F.col("n_later") - F.col("n_earlier")) / n_buckets  # the least a bucket's tables differ by
-    cells = F.when(surely > first_cells / 3, F.ceil(surely / first_cells * 2) * GROWTH * first_cells).otherwise(first_cells).cast("bigint")
-    plan = sizes.select(F.col("pair").alias("p"), n_buckets.alias("b"), cells.alias("m"))
-    todo = elements.join(plan, F.col("pair") == F.col("p")).withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(11)), F.col("b"))).drop("p", "b")
-    base, found, failed = todo, None, None
+def changed_elements(elements: DataFrame, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, list[int]]:
+    """The elements that only one snapshot of a pair holds (place, h, d, sign), and how many tables each round could not empty."""
+    found, todo, failures = None, elements, []
     for turn in range(max_rounds):
         peeled = cut_lineage(difference_cells(todo).mapInPandas(_peel_batches, PEELED))
-        good = peeled.where("sign != 0").drop("bucket")
+        good = peeled.where("sign != 0")
         found = good if found is None else found.unionByName(good)
-        failed = peeled.where("sign = 0").select("pair", "bucket")
-        if failed.isEmpty():
-            return found
-        todo = base.join(failed, ["pair", "bucket"], "left_semi").withColumn("m", F.col("m") * GROWTH ** (turn + 1))
-    exact = base.join(failed, ["pair", "bucket"], "left_semi").groupBy("pair", "h", "d").agg(F.sum("sign").cast("int").alias("sign")).where("sign != 0")
-    return found.unionByName(exact)
+        failed = peeled.where("sign = 0").select(*PLACE)
+        failures.append(failed.count())
+        if not failures[-1]:
+            return found, failures
+        todo = elements.join(failed, list(PLACE), "left_semi").withColumn("m", F.col("m") * GROWTH ** (turn + 1))
+    exact = full_comparison(todo)
+    return (exact if found is None else found.unionByName(exact)), failures
+
+
+def full_comparison(elements: DataFrame) -> DataFrame:
+    """The same by plain counting, for the buckets that are left over."""
+    return elements.groupBy(*PLACE, "h", "d").agg(F.sum("sign").cast("int").alias("sign")).where("sign != 0")
 
 
-def snapshot_changes(raw: DataFrame, runs: DataFrame) -> DataFrame:
+def snapshot_changes(raw: DataFrame, runs: DataFrame, first_cells: int = FIRST_CELLS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(scan_run_id, rule_id, file_path, change_kind) for every pair of consecutive snapshots."""
-    snapshots = cut_lineage(snapshot_pairs(runs))
-    records = cut_lineage(snapshot_records(raw, snapshots))
+    placed = cut_lineage(placed_runs(raw, snapshot_pairs(runs), first_cells))
+    # kept while the tables are built and looked up; what an executor loses is computed again
+    records = snapshot_records(raw, placed).persist(StorageLevel.MEMORY_AND_DISK)
     elements = signed_elements(records)
-    sizes = elements.groupBy("pair").agg(F.count(F.when(F.col("sign") > 0, 1)).alias("n_later"), F.count(F.when(F.col("sign") < 0, 1)).alias("n_earlier"))
-    found = changed_elements(elements, sizes)
-    same = ["pair", "h", "d", "sign"]
-    verified = found.join(elements, same)  # the digests of the recovered keys are those of the snapshots
+    found, _ = changed_elements(elements, max_rounds)
+    held = elements.select(*PLACE, "h", "d", "sign", F.struct("rule_id", "file_path").alias("key"))
+    same = [*PLACE, "h", "d", "sign"]
+    looked_up = cut_lineage(found.join(held, same, "left"))
+    lost = looked_up.where("key is null").select(*PLACE).distinct()
+    if not lost.isEmpty():  # a digest that no snapshot holds
+        again = full_comparison(elements.join(lost, list(PLACE), "left_semi")).join(held, same)
+        looked_up = cut_lineage(looked_up.join(lost, list(PLACE), "left_anti").unionByName(again))
+    records.unpersist()
     plus, minus = F.max(F.col("sign") > 0), F.max(F.col("sign") < 0)
     kind = F.when(plus & minus, "changed").when(plus, "added").otherwise("removed")
-    return verified.groupBy("pair", "rule_id", "file_path").agg(kind.alias("change_kind")).withColumnRenamed("pair", "scan_run_id")
+    return looked_up.groupBy("pair", "key").agg(kind.alias("change_kind")).select(F.col("pair").alias("scan_run_id"), "key.rule_id", "key.file_path", "change_kind")
 
 
 def change_counts(changes: DataFrame, runs: DataFrame) -> DataFrame:
