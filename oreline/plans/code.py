@@ -68,23 +68,6 @@ def txt_t16_scopes(spark: SparkSession, d: str) -> DataFrame:
     return src.select("id", "line_no", F.coalesce(F.last(start, True).over(w), F.lit("global")).alias("scope")).groupBy("id", "scope").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-def txt_t20_probe(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "training_samples").where("code is not null")
-    n = lambda p: F.regexp_count("code", F.lit(p))
-    feats = t.select("id", (n(r"\b(if|else|switch|case)\b") + 1).alias("f1"), F.size(F.split("code", "\n", -1)).alias("f2"), n(r"\b(for|while|do)\b").alias("f3"))
-    mean = (F.col("f1") + F.col("f2") + F.col("f3")) / 3
-    std = F.sqrt(((F.col("f1") - mean) ** 2 + (F.col("f2") - mean) ** 2 + (F.col("f3") - mean) ** 2) / 3)
-    return feats.select("id", F.round(std, 6).alias("std"), F.round(F.least(std / 5, F.lit(1.0)), 6).alias("confidence")).where("std > 2.5")
-
-
-def txt_t21_features(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "training_samples").where("code is not null")
-    n = lambda p: F.regexp_count("code", F.lit(p))
-    loc = F.size(F.split("code", "\n", -1))
-    cap = lambda x, m: F.round(F.least(x / m, F.lit(1.0)), 6)
-    return t.select("id", cap(loc, 1000).alias("loc"), cap(n(r"\b(if|while|for|case|catch)\b"), 50).alias("decisions"), cap(n(r"(?:^|\n)(?:def|function|func|public|private|protected)\s+\w+"), 20).alias("functions"), cap(n(r"(?:^|\n)(?:import|from|require|include)\s+"), 30).alias("imports"), cap(n(r"(?i)\b(exec|eval|system|shell|popen|spawn|compile)\s*\("), 10).alias("dangerous"), F.round(n(r"#|//|<!--|/\*") / loc, 6).alias("comments"), cap(F.length("code") / loc, 200).alias("mean_line"))
-
-
 def txt_t24_payload(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     payload = F.concat_ws("|", F.col("event_id").cast("string"), F.col("event_type"), F.col("user_id").cast("string"), F.coalesce("props", F.lit("{}")))
@@ -159,12 +142,12 @@ def taint_x10_sinks(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    txt_t01_rules, txt_t04_weak, txt_t05_markup, txt_t06_redact, txt_t07_injection, txt_t11_severity, txt_t12_fingerprint, txt_t15_assignments, txt_t16_scopes, txt_t20_probe, txt_t21_features, txt_t24_payload,
+    txt_t01_rules, txt_t04_weak, txt_t05_markup, txt_t06_redact, txt_t07_injection, txt_t11_severity, txt_t12_fingerprint, txt_t15_assignments, txt_t16_scopes, txt_t24_payload,
     win_w5_overlap, win_w6_context, win_w9_nesting, flow_d2_live, flow_d3_chains, flow_d4_dead, flow_d4_unset, flow_c1_blocks, flow_c2_edges, flow_c5_cyclomatic, taint_x13_marks, taint_x9_paths, taint_x6_result, taint_x10_sinks,
 )}
 
 _SNIP = "l AS (SELECT raw_id, generate_subscripts(x, 1) AS line_no, unnest(x) AS line FROM (SELECT raw_id, string_split(code_snippet, chr(10)) AS x FROM raw_findings WHERE code_snippet IS NOT NULL))"
-_CODE = "l AS (SELECT id, generate_subscripts(x, 1) AS line_no, unnest(x) AS line FROM (SELECT id, string_split(code, chr(10)) AS x FROM training_samples WHERE code IS NOT NULL AND language IN ('javascript', 'typescript', 'python')))"
+_CODE = "l AS (SELECT id, generate_subscripts(x, 1) AS line_no, unnest(x) AS line FROM (SELECT id, string_split(code, chr(10)) AS x FROM training_samples WHERE code IS NOT NULL))"
 _RULES = ", ".join(f"({_lit(i)}, {_lit(s)}, {c}, {_lit(p)})" for i, s, c, p in rules.LINE_RULES)
 _STOP = ", ".join(_lit(w) for w in rules.NOT_VARIABLES)
 _HEAD = _lit(code.HEADER)
@@ -221,8 +204,6 @@ SQL = {
     "txt_t12_fingerprint": "SELECT raw_id, substring(sha256(coalesce(rule_id, '') || '|' || coalesce(file_path, '') || '|' || coalesce(start_line::varchar, '')), 1, 32) AS fingerprint FROM raw_findings",
     "txt_t15_assignments": rf"WITH {_CODE} SELECT * FROM (SELECT id, line_no, coalesce(nullif(regexp_extract(line, '^\s*(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=', 1), ''), nullif(regexp_extract(line, '^\s*(\$\w+)\s*=', 1), ''), nullif(regexp_extract(line, '^\s*([A-Za-z_]\w*)\s*=[^=]', 1), '')) AS target FROM l) WHERE target IS NOT NULL",
     "txt_t16_scopes": rf"WITH {_CODE}, s AS (SELECT id, coalesce(last_value(nullif(regexp_extract(line, '^\s*(?:async\s+)?(?:def|function)\s+([A-Za-z_]\w*)', 1), '') IGNORE NULLS) OVER (PARTITION BY id ORDER BY line_no), 'global') AS scope FROM l) SELECT id, scope, count(*) AS n_lines FROM s GROUP BY id, scope",
-    "txt_t20_probe": r"WITH f AS (SELECT id, len(regexp_extract_all(code, '\b(if|else|switch|case)\b')) + 1 AS a, len(string_split(code, chr(10))) AS b, len(regexp_extract_all(code, '\b(for|while|do)\b')) AS c FROM training_samples WHERE code IS NOT NULL), g AS (SELECT *, (a + b + c) / 3.0::double AS m FROM f), h AS (SELECT id, sqrt(((a - m) * (a - m) + (b - m) * (b - m) + (c - m) * (c - m)) / 3) AS s FROM g) SELECT id, round(s, 6) AS std, round(least(s / 5, 1), 6) AS confidence FROM h WHERE round(s, 6) > 2.5",
-    "txt_t21_features": r"SELECT id, round(least(len(string_split(code, chr(10))) / 1000.0, 1)::double, 6) AS loc, round(least(len(regexp_extract_all(code, '\b(if|while|for|case|catch)\b')) / 50.0, 1)::double, 6) AS decisions, round(least(len(regexp_extract_all(code, '(?:^|\n)(?:def|function|func|public|private|protected)\s+\w+')) / 20.0, 1)::double, 6) AS functions, round(least(len(regexp_extract_all(code, '(?:^|\n)(?:import|from|require|include)\s+')) / 30.0, 1)::double, 6) AS imports, round(least(len(regexp_extract_all(code, '(?i)\b(exec|eval|system|shell|popen|spawn|compile)\s*\(')) / 10.0, 1)::double, 6) AS dangerous, round(len(regexp_extract_all(code, '#|//|<!--|/\*'))::double / len(string_split(code, chr(10))), 6) AS comments, round(least(length(code)::double / len(string_split(code, chr(10))) / 200, 1), 6) AS mean_line FROM training_samples WHERE code IS NOT NULL",
     "txt_t24_payload": "SELECT event_id, sha256(event_id::varchar || '|' || event_type || '|' || user_id::varchar || '|' || coalesce(props, '{}')) AS hash FROM events",
     "win_w5_overlap": rf"""WITH {_CODE}, t AS (SELECT id, line_no, list_transform(regexp_extract_all(line, '\b([A-Za-z_$][\w$]*)\b', 1), lambda x: lower(x)) AS toks FROM l),
  n AS (SELECT *, list_concat(coalesce(flatten(list(toks) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)), []), coalesce(flatten(list(toks) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)), [])) AS near FROM t)

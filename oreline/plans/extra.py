@@ -1,56 +1,15 @@
-"""Further queries: type families, embeddings, as-of joins, distances and shares, with their SQL."""
+"""Further queries: definitions, embeddings, as-of joins, graphs and distances, with their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreline.operators import code, graph, vectors
-from oreline.operators.relational import severity_rank
 from oreline.plans import analytics
 from oreline.plans import code as code_plans
 from oreline.session import table
 
-#: Part of a rule's name, the family of its type, and its default weakness (fixed values).
-FAMILIES = (("sql", "sql", "CWE-89"), ("cmd", "exec", "CWE-78"), ("path", "file", "CWE-22"), ("xss", "xss", "CWE-79"), ("ssrf", "ssrf", "CWE-918"), ("auth", "access", "CWE-306"), ("hash", "crypto", "CWE-327"), ("xxe", "xml", "CWE-611"))
-#: Families and the threat categories they fall under (fixed values).
-STRIDE = {"sql": ("Tampering", "Information Disclosure"), "exec": ("Elevation of Privilege", "Tampering"), "file": ("Information Disclosure",), "xss": ("Tampering", "Spoofing"), "ssrf": ("Information Disclosure", "Spoofing"), "access": ("Elevation of Privilege",), "crypto": ("Information Disclosure",)}
-
-
-def _family(c: Column) -> Column:
-    out: Column = F.lit("other")
-    for part, family, _ in reversed(FAMILIES):
-        out = F.when(F.lower(c).contains(part), family).otherwise(out)
-    return out
-
-
-def txt_t13_families(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "raw_findings").groupBy(_family(F.col("rule_id")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def txt_t14_weakness(spark: SparkSession, d: str) -> DataFrame:
-    by_family = F.create_map(*(F.lit(x) for _, f, c in FAMILIES for x in (f, c)))
-    return table(spark, d, "raw_findings").select("raw_id", F.coalesce(F.element_at(by_family, _family(F.col("rule_id"))), F.lit("CWE-707")).alias("cwe"))
-
-
-def agg_a20_stride(spark: SparkSession, d: str) -> DataFrame:
-    by_family = F.create_map(*(x for f, cats in STRIDE.items() for x in (F.lit(f), F.array(*map(F.lit, cats)))))
-    return table(spark, d, "raw_findings").select(F.explode(F.element_at(by_family, _family(F.col("rule_id")))).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-
-
-def txt_t08_validation(spark: SparkSession, d: str) -> DataFrame:
-    sev = F.lower(F.coalesce("severity", F.lit("")))
-    n = F.length(F.coalesce("description", F.lit("")))
-    reason = F.when(~sev.isin("critical", "high", "medium", "low", "info"), "severity").when(F.coalesce("start_line", F.lit(0)) < 1, "line").otherwise("ok")
-    risk = F.when((n > 0) & (n < 10), 2).otherwise(0) + F.when(F.lower("description").rlike(r"\bno\s+vulnerabilities?\b"), 5).otherwise(0)
-    return table(spark, d, "raw_findings").groupBy(reason.alias("reason"), risk.alias("risk")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def txt_t10_message(spark: SparkSession, d: str) -> DataFrame:
-    text = F.regexp_replace(F.coalesce("description", F.lit("")), r"(?s)```.*?```", "[code]")
-    return table(spark, d, "raw_findings").select("raw_id", F.when(F.length(text) > 60, F.concat(F.substring(text, 1, 60), F.lit("..."))).otherwise(text).alias("message"))
-
-
 def txt_t17_definitions(spark: SparkSession, d: str) -> DataFrame:
     return code.definitions(code_plans._code_lines(spark, d), "id").groupBy("id", "var").agg(F.count(F.lit(1)).alias("n_lines"))
 
@@ -94,24 +53,12 @@ def stat_m4_mahalanobis(spark: SparkSession, d: str) -> DataFrame:
     return o.select("p_partkey", F.round(F.sqrt((dx * dx * m.vy - 2 * dx * dy * m.c + dy * dy * m.vx) / det), 5).alias("distance")).where("distance > 2")
 
 
-def risk_r5_shares(spark: SparkSession, d: str) -> DataFrame:
-    per = table(spark, d, "raw_findings").groupBy("project_id", _family(F.col("rule_id")).alias("family")).agg(F.sum(severity_rank("severity")).alias("w"))
-    top = per.groupBy("project_id").agg(F.sum("w").alias("total"), F.max(F.struct("w", "family")).alias("m"))
-    return top.select("project_id", F.col("m.family").alias("dominant"), F.when(F.col("total") > 0, F.round(F.col("m.w") / F.col("total"), 6)).otherwise(0.0).alias("share"))
-
-
-QUERIES = {f.__name__: f for f in (txt_t13_families, txt_t14_weakness, agg_a20_stride, txt_t08_validation, txt_t10_message, txt_t17_definitions, set_u3_jaccard, txt_t22_embedding, join_j15_as_of, graph_g7_strong, graph_g10_shortest, graph_g27_adjacency, stat_m4_mahalanobis, risk_r5_shares)}
+QUERIES = {f.__name__: f for f in (txt_t17_definitions, set_u3_jaccard, txt_t22_embedding, join_j15_as_of, graph_g7_strong, graph_g10_shortest, graph_g27_adjacency, stat_m4_mahalanobis)}
 
-_FAM = "CASE " + " ".join(f"WHEN contains(lower(rule_id), '{p}') THEN '{f}'" for p, f, _ in FAMILIES) + " ELSE 'other' END"
 _WORDS = r"list_distinct(list_filter(string_split_regex(lower(coalesce({0}, '')), '\W+'), lambda t: t <> ''))"
 _FNV = "list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(t, ''), lambda c: ord(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
 
 SQL = {
-    "txt_t13_families": f"SELECT {_FAM} AS family, count(*) AS n FROM raw_findings GROUP BY 1",
-    "txt_t14_weakness": f"SELECT raw_id, CASE {_FAM} " + " ".join(f"WHEN '{f}' THEN '{c}'" for _, f, c in FAMILIES) + " ELSE 'CWE-707' END AS cwe FROM raw_findings",
-    "agg_a20_stride": f"WITH f AS (SELECT {_FAM} AS family FROM raw_findings), s AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{c}')" for f, cats in STRIDE.items() for c in cats) + ") v(family, category)) SELECT category, count(*) AS n FROM f JOIN s USING (family) GROUP BY 1",
-    "txt_t08_validation": r"SELECT CASE WHEN coalesce(lower(severity), '') NOT IN ('critical', 'high', 'medium', 'low', 'info') THEN 'severity' WHEN coalesce(start_line, 0) < 1 THEN 'line' ELSE 'ok' END AS reason, CASE WHEN length(coalesce(description, '')) BETWEEN 1 AND 9 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(description), '\bno\s+vulnerabilities?\b') THEN 5 ELSE 0 END AS risk, count(*) AS n FROM raw_findings GROUP BY 1, 2",
-    "txt_t10_message": "WITH m AS (SELECT raw_id, regexp_replace(coalesce(description, ''), '(?s)```.*?```', '[code]', 'g') AS t FROM raw_findings) SELECT raw_id, CASE WHEN length(t) > 60 THEN substring(t, 1, 60) || '...' ELSE t END AS message FROM m",
     "txt_t17_definitions": f"WITH {code_plans._EVENTS} SELECT id, var, count(*) AS n_lines FROM ev WHERE is_def GROUP BY 1, 2",
     "set_u3_jaccard": f"WITH w AS (SELECT raw_id, {_WORDS.format('title')} AS a, {_WORDS.format('description')} AS b FROM raw_findings) SELECT raw_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))), 6) ELSE 0 END AS similarity FROM w",
     "txt_t22_embedding": rf"WITH t AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\W+'), lambda x: x <> '')) AS t FROM eval_items WHERE text IS NOT NULL), n AS (SELECT item_id, t, count(*) AS n FROM t GROUP BY 1, 2), h AS (SELECT item_id, n, {_FNV} AS h FROM n), p AS (SELECT item_id, h % 128 AS bucket, n::double AS w FROM h UNION ALL SELECT item_id, xor(h >> 16, h & 65535) % 128, n * 0.5 FROM h), s AS (SELECT item_id, bucket, sum(w) AS w FROM p GROUP BY 1, 2) SELECT item_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 5) AS weight FROM s",
@@ -120,5 +67,4 @@ SQL = {
     "graph_g10_shortest": f"WITH RECURSIVE {analytics._THIN}, c AS (SELECT dst, 1 AS hops FROM s WHERE src = 'click' UNION SELECT s.dst, hops + 1 FROM c JOIN s ON s.src = c.dst WHERE hops < 6) SELECT dst, min(hops) AS hops FROM c GROUP BY 1",
     "graph_g27_adjacency": f"WITH {analytics._STEPS} SELECT src, string_agg(dst, ',' ORDER BY dst) AS targets FROM (SELECT DISTINCT src, dst FROM e) GROUP BY 1",
     "stat_m4_mahalanobis": "WITH m AS (SELECT avg(p_size) AS mx, avg(p_retailprice) AS my, var_samp(p_size) AS vx, var_samp(p_retailprice) AS vy, covar_samp(p_size, p_retailprice) AS c FROM part), q AS (SELECT p_partkey, round(sqrt(((p_size - mx) * (p_size - mx) * vy - 2 * (p_size - mx) * (p_retailprice - my) * c + (p_retailprice - my) * (p_retailprice - my) * vx) / (vx * vy - c * c)), 5) AS distance FROM part, m) SELECT * FROM q WHERE distance > 2",
-    "risk_r5_shares": f"WITH p AS (SELECT project_id, {_FAM} AS family, sum({analytics._RANKQ}) AS w FROM raw_findings GROUP BY 1, 2), t AS (SELECT project_id, sum(w) AS total, (max({{'w': w, 'f': family}})) AS m FROM p GROUP BY 1) SELECT project_id, m.f AS dominant, CASE WHEN total > 0 THEN round(m.w::double / total, 6) ELSE 0 END AS share FROM t",
 }

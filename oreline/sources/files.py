@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreline.functions.text import parse_instant
+from oreline.operators.finding_text import message
 
 #: Folders that are not scanned, endings that are, and their languages.
 SKIPPED = ("node_modules", ".git", "dist", "build", "vendor")
@@ -65,8 +66,7 @@ def sarif(findings: DataFrame) -> DataFrame:
     """One SARIF 2.1.0 document (column ``document``) of (rule_id, title, severity, message, file_path, line): a rule for each rule_id (its first
     title), results in the order of path, line and rule. The document itself is one value: for the findings of one scan."""
     level = F.when(F.lower("severity").isin("critical", "high"), "error").when(F.lower("severity") == "medium", "warning").otherwise("note")
-    text = F.regexp_replace(F.coalesce("message", F.lit("")), r"(?s)```.*?```", "")
-    text = F.when(F.length(text) > 500, F.concat(F.substring(text, 1, 500), F.lit("..."))).otherwise(text)
+    text = message(F.coalesce("message", F.lit("")))
     result = F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(text.alias("text")).alias("message"), F.array(F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation"))).alias("locations"))
     rows = findings.select(F.struct("file_path", "line", "rule_id", result.alias("result")).alias("o"), F.struct(F.col("rule_id").alias("id"), F.col("title").alias("name")).alias("rule"))
     rules = F.transform(F.array_distinct(F.transform(F.sort_array(F.collect_list("rule")), lambda r: r["id"])), lambda i: F.struct(i.alias("id")))
