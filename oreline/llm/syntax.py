@@ -1,18 +1,20 @@
 """Source files that do not parse.
 
-Files are lexed into DataFrame rows, one a token. Three checks follow, all in the JVM:
-
-1. Adjacent pairs: an anti-join against the pairs the language's grammar permits (a fixed table derived from the productions).
-2. Nesting: a running sum of openings and closings per file; within each level the bracket that closes must be of the
-   kind that opened, no level may fall below zero and none may stay open.
-3. Statements: within each level tokens are reduced, brackets and blocks to one symbol each, and cut into statements
-   by window sums; each statement, and the contents of each round or square bracket, must match one of the
+Files are lexed into DataFrame rows: one a stretch of tokens up to the next bracket, and one a pair of adjacent tokens that the file
+holds. Three checks follow, all in the JVM:
+
+1. Adjacent pairs: an anti-join against the pairs the language's grammar permits (a fixed table derived from the productions)
+   leaves the stray ones over.
+2. Nesting: a running sum of openings and closings per file gives each stretch its level, a running count on each level the bracket
+   it stands in; the bracket that closes must be of the kind that opened, no level may fall below zero and none may stay open.
+3. Statements: the stretches of a bracket's contents are put together, nested brackets and blocks being one symbol each, and cut into
+   statements; each statement, and the contents of each round or square bracket, must match one of the
    language's statement forms. For Python, clauses (else, except ...) must follow a statement that may have them.
 
 Python files that fail are confirmed by the language's own parser; for the other languages no exact check exists here.
 
-Scale: equal contents are lexed once (copies are joined back by content digest); all windows share one shuffle by content, so
-the token table is moved once. The pairs are broadcast: at most a few thousand rows, fixed by the grammars.
+Scale: equal contents are lexed once (copies are joined back by a content digest of 128 bits); all windows share one shuffle by content, so
+the stretches are moved once. Permissible pairs never leave the lexing stage. The pairs are broadcast: at most a few thousand rows, fixed by the grammars.
 
 Defined results
 ---------------
@@ -23,10 +25,10 @@ Defined results
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +39,9 @@ from pyspark.sql.window import Window
 from oreline.functions.text import clean_path, strip
 from oreline.llm import grammar, lexers
 
-TOKENS = "k bigint, lang string, pos int, tok string, nxt string"
+TOKENS = "k bigint, k2 bigint, lang string, pos int, seg string, bracket string, pair string"
+KEY = ("k", "k2")
+STRETCH = re.compile("([^()\\[\\]{}\x01\x02$]*)([()\\[\\]{}\x01\x02$])")
 #: On a brace level a statement does not end at a closing brace that one of these follows.
 GOES_ON = {
     "javascript": "EcyW;,.)]}=bsx<>?:NPS(G[fk", "typescript": "EcyW;,.)]}=bsx<>?:NPS(G[fkX", "java": "Ecy;,.)]}=bsx<>?:NP([k", "c": "E;,.)]}=bsx?:i(x[kPS", "go": "E;,.)]}=bsx:([PSBil", "python": "",
@@ -55,119 +59,102 @@ def language_of(language: Column, path: Column) -> Column:
 
 
 def contents(samples: DataFrame) -> DataFrame:
-    """(id, lang, k) of the samples that can be judged; ``k`` digests language and code."""
+    """(id, file_path, lang, code, k, k2) of the samples that can be judged; ``k`` and ``k2`` digest language and code."""
     lang = language_of(F.col("language"), F.col("file_path"))
-    return samples.select("id", "file_path", lang.alias("lang"), "code").where("code is not null and lang is not null").withColumn("k", F.xxhash64("lang", "code"))
+    return samples.select("id", "file_path", lang.alias("lang"), "code").where("code is not null and lang is not null").withColumn("k", F.xxhash64("lang", "code")).withColumn("k2", F.xxhash64(F.lit(1), "code", "lang"))
 
 
 def lex_rows(files: DataFrame) -> DataFrame:
-    """One row a token of (k, lang, code): its place, its class and the next token's."""
+    """The stretches (pos from 0, tokens, the bracket after them) and the different adjacent pairs (pos -1) of (k, k2, lang, code)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ks, langs, codes = (batch.column(c).to_pylist() for c in ("k", "lang", "code"))
-            k_out, lang_out, sizes, toks = [], [], [], []
-            for k, lang, code in zip(ks, langs, codes):
-                t = lexers.lex(code, lang)
-                t = [grammar.BEGIN, *t, grammar.END]
-                k_out.append(k)
-                lang_out.append(lang)
-                sizes.append(len(t))
-                toks += t
-            for part in _pieces(np.array(k_out, np.int64), lang_out, np.array(sizes), toks):
-                yield part
+            keys, owner, pos, seg, bracket, pair = [batch.column(c) for c in (*KEY, "lang")], [], [], [], [], []
+            for i, (lang, code) in enumerate(zip(keys[2].to_pylist(), batch.column("code").to_pylist())):
+                text = "".join((grammar.BEGIN, *lexers.lex(code, lang), grammar.END))
+                found = STRETCH.findall(text, 1)
+                pairs = list(set(map("".join, zip(text, text[1:]))))
+                n, m = len(found) + 1, len(pairs)
+                owner += [i] * (n + m)
+                pos += [*range(n), *[-1] * m]
+                seg += ["", *(x for x, _ in found), *[None] * m]
+                bracket += [grammar.BEGIN, *(x for _, x in found), *[None] * m]
+                pair += [None] * n + pairs
+            take = pa.array(owner, pa.int32())
+            columns = [*(c.take(take) for c in keys), pa.array(pos, pa.int32()), *(pa.array(x, pa.string()) for x in (seg, bracket, pair))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "lang", "pos", "seg", "bracket", "pair"])
 
     return files.mapInArrow(run, TOKENS)
 
 
-def _pieces(ks: np.ndarray, langs: list[str], sizes: np.ndarray, toks: list[str]) -> Iterator[pa.RecordBatch]:
-    if not len(sizes):
-        return
-    n = len(toks)
-    pos = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    lang = pa.array(langs).take(pa.array(np.repeat(np.arange(len(langs)), sizes)))
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ks, sizes)), lang, pa.array(pos.astype(np.int32)), pa.array(toks, pa.string()), pa.array(toks[1:] + [""], pa.string())], names=["k", "lang", "pos", "tok", "nxt"])
-
-
 def pair_table(spark: SparkSession) -> DataFrame:
     """The permissible pairs of all languages: a fixed table."""
-    rows = [(lang, a, b) for lang, spec in grammar.languages().items() for a, b in sorted(spec["pairs"])]
-    return spark.createDataFrame(rows, "lang string, tok string, nxt string")
+    rows = [(lang, a + b) for lang, spec in grammar.languages().items() for a, b in sorted(spec["pairs"])]
+    return spark.createDataFrame(rows, "lang string, pair string")
 
 
-def with_pair_marks(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The tokens with ``stray``: true where the anti-join with the permissible pairs leaves the pair that begins
-    here over (lexical errors are in no pair). The mark keeps the token table in one pass."""
-    permitted = F.broadcast(pairs.withColumn("permitted", F.lit(True)))  # fixed by the grammars
-    return tokens.join(permitted, ["lang", "tok", "nxt"], "left").select("k", "lang", "pos", "tok", (F.col("permitted").isNull() & (F.col("tok") != grammar.END)).alias("stray"))
+def without_permissible(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The stretches and the stray pairs: those that the anti-join with the permissible pairs leaves over (lexical errors are in no pair)."""
+    return rows.join(F.broadcast(pairs), ["lang", "pair"], "left_anti")  # fixed by the grammars
 
 
-def statements(tokens: DataFrame) -> DataFrame:
-    """The statements and bracket contents of marked tokens, one row each: k, lang, level, part, opened (the bracket they stand
-    in), text (their symbols), and whether they are ``wrong`` in nesting or hold a stray pair, or have no form that ``fits``."""
+def bracket_contents(rows: DataFrame) -> DataFrame:
+    """One row per bracket, block or file: k, k2, lang, level, c (its number on the level), opened, text (its symbols) and whether it is ``wrong``
+    in nesting. Stray pairs are wrong contents of a level of their own."""
     opens, closes = list(grammar.OPEN.values()), list(grammar.CLOSE.values())
-    step = F.when(F.col("tok").isin(*opens), 1).when(F.col("tok").isin(*closes), -1).otherwise(0)
-    by_file = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = tokens.withColumn("step", step).withColumn("depth", F.sum("step").over(by_file))
+    step = F.when(F.col("bracket").isin(*opens), 1).when(F.col("bracket").isin(*closes), -1).otherwise(0)
+    before = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("step", step).withColumn("depth", F.coalesce(F.sum("step").over(before), F.lit(0)))
     # an opening bracket is a symbol of the level around it and begins the level within; a closing one ends that level
-    symbol = F.translate(F.col("tok"), "".join(opens), "".join(grammar.OPEN))
-    inside, role = F.col("depth"), F.lit("")
-    events = F.when(
-        F.col("step") == 1,
-        F.array(F.struct((F.col("depth") - 1).alias("level"), symbol.alias("sym"), F.lit("").alias("begin"), F.lit("").alias("end")), F.struct(inside.alias("level"), F.lit("").alias("sym"), F.col("tok").alias("begin"), role.alias("end"))),
-    ).when(
-        F.col("step") == -1, F.array(F.struct((F.col("depth") + 1).alias("level"), F.lit("").alias("sym"), F.lit("").alias("begin"), F.col("tok").alias("end")))
-    ).when(
-        F.col("tok").isin(grammar.BEGIN, grammar.END), F.array(F.struct(inside.alias("level"), F.lit("").alias("sym"), F.when(F.col("tok") == grammar.BEGIN, grammar.BEGIN).otherwise("").alias("begin"), F.when(F.col("tok") == grammar.END, grammar.END).otherwise("").alias("end")))
-    ).otherwise(F.array(F.struct(inside.alias("level"), F.col("tok").alias("sym"), F.lit("").alias("begin"), F.lit("").alias("end"))))
-    flat = placed.select("k", "lang", "pos", "stray", F.explode(events).alias("e")).select("k", "lang", "pos", "stray", "e.*")
-    by_level = Window.partitionBy("k", "level").orderBy("pos")
-    upto = by_level.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.lag("sym").over(by_level)
-    opened = F.last(F.when(F.col("begin") != "", F.col("begin")), True).over(upto)
-    flat = flat.withColumn("opened", opened).withColumn("before", before)
-    partner = F.translate(F.col("opened"), "".join(opens) + grammar.BEGIN, "".join(closes) + grammar.END)
-    wrong = F.col("stray") | (F.col("level") < 0) | F.col("opened").isNull() | ((F.col("end") != "") & (F.col("end") != partner))
-    curly = F.col("opened").isin("{", grammar.BEGIN, "\x01")
-    goes_on = F.lit(False)
-    for lang, chars in GOES_ON.items():
-        goes_on = F.when(F.col("lang") == lang, F.col("sym").isin(*chars) if chars else F.lit(False)).otherwise(goes_on)
-    python = F.col("lang") == "python"
-    # the statement before ended: at a semicolon or a brace; in Python at a line end without a block, or a block
-    ended = F.when(python, ((F.col("before") == "Z") & (F.col("sym") != "D")) | (F.col("before") == "D")).otherwise((F.col("before") == ";") | ((F.col("before") == "B") & ~goes_on))
-    fresh = (F.col("begin") != "") | (curly & (F.col("sym") != "") & ended)
-    flat = flat.withColumn("part", F.sum(fresh.cast("int")).over(upto)).withColumn("wrong", wrong)
-    parts = flat.groupBy("k", "lang", "level", "part", "opened").agg(
-        F.max("wrong").alias("wrong"),
+    symbol = F.translate(F.col("bracket"), "".join(opens), "".join(grammar.OPEN))
+    event = lambda level, sym, begin, end: F.struct(level.alias("level"), sym.alias("sym"), begin.alias("begin"), end.alias("end"))
+    none, depth, seg, bracket = F.lit(""), F.col("depth"), F.col("seg"), F.col("bracket")
+    events = F.when(F.col("pair").isNotNull(), F.array(event(F.lit(-1).cast("bigint"), none, none, F.col("pair"))))
+    events = events.when(bracket == grammar.BEGIN, F.array(event(depth, none, bracket, none)))
+    events = events.when(F.col("step") == 1, F.array(event(depth, F.concat(seg, symbol), none, none), event(depth + 1, none, bracket, none)))
+    events = events.otherwise(F.array(event(depth, seg, none, bracket)))
+    flat = placed.select(*KEY, "lang", "pos", F.explode(events).alias("e")).select(*KEY, "lang", "pos", "e.*")
+    upto = Window.partitionBy(*KEY, "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    flat = flat.withColumn("c", F.sum((F.col("begin") != "").cast("int")).over(upto))
+    found = flat.groupBy(*KEY, "lang", "level", "c").agg(
+        F.max("begin").alias("opened"), F.max("end").alias("closed"), F.count_if(F.col("end") != "").alias("ends"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("sym") != "", F.struct("pos", "sym")))), lambda x: x["sym"]), "").alias("text"),
-    )
-    form = F.lit(True)
+    )
+    partner = F.translate(F.col("opened"), "".join(opens) + grammar.BEGIN, "".join(closes) + grammar.END)
+    wrong = (F.col("level") < 0) | (F.col("c") == 0) | (F.col("ends") != 1) | (F.col("closed") != partner)
+    return found.select(*KEY, "lang", "level", "c", "opened", "text", wrong.alias("wrong"))
+
+
+def _cut(lang: str) -> str:
+    """Where a statement ends: at a semicolon or a brace that nothing goes on; in Python at a line end without a block, or a block."""
+    return "(?<=Z)(?!D)|(?<=D)" if lang == "python" else f"(?<=;)|(?<=B)(?![{re.escape(GOES_ON[lang])}])"
+
+
+def failing(contents: DataFrame) -> DataFrame:
+    """The keys of contents that are wrong, have a statement of no form, or, in Python, a clause that no statement before or after it takes up."""
+    fits = F.lit(True)
+    opened, text = F.col("opened"), F.col("text")
     for lang, spec in grammar.languages().items():
         of = spec["forms"]
-        block = of["D"] if lang == "python" else of["B"]
-        here = F.when(F.col("opened") == "(", F.col("text").rlike(f"^(?:{of['P']})$")).when(F.col("opened") == "[", F.col("text").rlike(f"^(?:{of['S']})$"))
-        here = here.when(F.col("opened") == grammar.BEGIN, F.col("text").rlike(f"^(?:{of['top']})$"))
+        whole = lambda form: text.rlike(f"^(?:{form})$") | (text == "")
+        each = lambda form, lang=lang: F.forall(F.split(text, _cut(lang), -1), lambda x: (x == "") | x.rlike(f"^(?:{form})$"))
+        here = F.when(opened == "(", whole(of["P"])).when(opened == "[", whole(of["S"])).when(opened == grammar.BEGIN, each(of["top"]))
         if lang == "python":
-            here = here.when(F.col("opened") == "{", F.col("text").rlike(f"^(?:{of['B']})$"))
-        here = here.otherwise(F.col("text").rlike(f"^(?:{block})$"))
-        form = F.when(F.col("lang") == lang, here).otherwise(form)
-    return parts.select("k", "lang", "level", "part", "opened", "text", "wrong", ((F.col("text") == "") | form).alias("fits"))
-
-
-def failing(parts: DataFrame) -> DataFrame:
-    """Contents with a wrong part or, in Python, a clause that no statement before or after it takes up."""
-    w = Window.partitionBy("k", "level").orderBy("part")
-    block = F.col("lang").eqNullSafe("python") & F.col("opened").isin(grammar.BEGIN, "\x01")
-    line = block & ~F.col("text").isin("", "Z")
-    head = F.when(F.col("text").startswith("@"), "@").when(F.col("text").rlike(":(?:Z|.*Z)D?$") & ~F.col("text").startswith("Z"), F.regexp_extract("text", "^A?(.)", 1)).otherwise("")
-    heads = parts.withColumn("head", F.when(line, head))
-    prev = F.last("head", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    nxt = F.first("head", True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    heads = heads.withColumn("prev", F.coalesce(prev, F.lit(""))).withColumn("next", F.coalesce(nxt, F.lit("")))
-    lost = ((F.col("head") == "T") & ~F.col("next").isin("c", "y")) | ((F.col("head") == "@") & ~F.col("next").isin("@", "F", "K"))
-    for clause, before in (("e", "Ie"), ("E", "IeLWc"), ("c", "Tc"), ("y", "TcE")):
-        lost = lost | ((F.col("head") == clause) & ~F.col("prev").isin(*before))
-    return heads.where(F.col("wrong") | ~F.col("fits") | F.coalesce(lost, F.lit(False))).select("k").distinct()
+            here = here.when(opened == "{", each(of["B"]))
+        fits = F.when(F.col("lang") == lang, here.otherwise(each(of["D" if lang == "python" else "B"]))).otherwise(fits)
+    lines = F.filter(F.split(text, _cut("python"), -1), lambda x: ~x.isin("", "Z"))
+    head = lambda x: F.when(x.startswith("@"), "@").when(x.rlike(":(?:Z|.*Z)D?$") & ~x.startswith("Z"), F.regexp_extract(x, "^A?(.)", 1)).otherwise("")
+    heads = F.transform(lines, head)
+
+    def lost(x: Column, i: Column) -> Column:
+        prev, nxt = F.coalesce(F.get(heads, i - 1), F.lit("")), F.coalesce(F.get(heads, i + 1), F.lit(""))
+        out = ((x == "T") & ~nxt.isin("c", "y")) | ((x == "@") & ~nxt.isin("@", "F", "K"))
+        for clause, before in (("e", "Ie"), ("E", "IeLWc"), ("c", "Tc"), ("y", "TcE")):
+            out = out | ((x == clause) & ~prev.isin(*before))
+        return out
+
+    stray = (F.col("lang") == "python") & opened.isin(grammar.BEGIN, "\x01") & text.rlike("[@TeEcy]") & F.exists(F.transform(heads, lost), lambda x: x)
+    return contents.where(F.col("wrong") | ~fits | stray).select(*KEY).distinct()
 
 
 @F.pandas_udf(BooleanType())
@@ -189,10 +176,9 @@ def find_invalid(samples: DataFrame) -> DataFrame:
     spark = samples.sparkSession
     rows = contents(samples)
     parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many lexing tasks as the session wants, however small the code
-    files = rows.repartition(parts_n, "k").groupBy("k").agg(F.first("lang").alias("lang"), F.first("code").alias("code"))
-    tokens = with_pair_marks(lex_rows(files), pair_table(spark)).repartition(parts_n, "k")
-    failed = failing(statements(tokens))
-    suspects = rows.join(failed, "k", "left_semi")
+    files = rows.select(*KEY, "lang", "code").repartition(parts_n, *KEY).groupBy(*KEY).agg(F.first("lang").alias("lang"), F.first("code").alias("code"))
+    lexed = without_permissible(lex_rows(files), pair_table(spark)).repartition(parts_n, *KEY)
+    suspects = rows.join(failing(bracket_contents(lexed)), list(KEY), "left_semi")
     # not deterministic, so that the check is not pushed below the join: only suspects are parsed
     wrong = F.when(F.col("lang") == "python", _fails_in_python.asNondeterministic()("code")).otherwise(F.lit(True))
     return suspects.where(wrong).select("id", "file_path", "lang")
