@@ -40,6 +40,8 @@ HASHES = 3
 FIRST_CELLS = 36
 GROWTH = 4
 MAX_ROUNDS = 4
+#: Recovered elements (numbers of some 40 bytes) up to which they are sent to all tasks.
+MAX_BROADCAST = 500_000
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
@@ -57,21 +59,25 @@ def snapshot_pairs(runs: DataFrame) -> DataFrame:
 
 
 def placed_runs(raw: DataFrame, snapshots: DataFrame, first_cells: int = FIRST_CELLS) -> DataFrame:
-    """The snapshots with the number of buckets of their project, the stretches of the pairs they belong to, and the size of each pair's tables.
+    """The snapshots, numbered, with the number of buckets of their project, the places (project and stretch of runs) of the pairs they belong to, and the
+    size of each pair's tables.
 
     Findings are counted per run, which bounds the records; only sizes depend on it, never results."""
     sizes = raw.groupBy(F.col("scan_run_id").alias("run_id")).agg(F.count(F.lit(1)).alias("n"))
     w, whole = Window.partitionBy("project_id").orderBy("started_at", "run_id"), Window.partitionBy("project_id")
     counted = snapshots.join(sizes, "run_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     buckets = F.greatest(F.lit(1), F.ceil(F.max("n").over(whole) / BUCKET_RECORDS)).cast("bigint")
-    ordered = counted.withColumn("b", buckets).withColumn("own", ((F.row_number().over(w) - 1) / STRETCH).cast("int")).withColumn("surely", F.abs(F.col("n") - F.lag("n", 1, 0).over(w)) / F.col("b"))
+    stretch = ((F.row_number().over(w) - 1) / STRETCH).cast("int")
+    ordered = counted.withColumn("b", buckets).withColumn("own", F.xxhash64("project_id", stretch)).withColumn("surely", F.abs(F.col("n") - F.lag("n", 1, 0).over(w)) / F.col("b"))
     # the least by which a bucket's tables are likely to differ
     cells = F.when(F.col("surely") > first_cells / 3, F.ceil(F.col("surely") / first_cells * 2) * GROWTH * first_cells).otherwise(first_cells).cast("bigint")
-    ordered = ordered.withColumn("own_m", cells)
-    return ordered.select("run_id", "project_id", F.col("prev_id").isNotNull().alias("follows"), "next_id", "b", "own", "own_m", F.lead("own").over(w).alias("next"), F.lead("own_m").over(w).alias("next_m"))
+    # short numbers for the runs; the table is written first, so that they hold
+    numbered = cut_lineage(ordered.withColumn("own_m", cells)).withColumn("no", F.monotonically_increasing_id())
+    lead = lambda c: F.lead(c).over(w)
+    return cut_lineage(numbered.select("run_id", "no", F.col("prev_id").isNotNull().alias("follows"), lead("no").alias("next_no"), "b", "own", "own_m", lead("own").alias("next"), lead("own_m").alias("next_m")))
 
 
-RECORD = ("project_id", "stretch", "bucket", "run_id", "follows", "next_id", "own", "own_m", "next", "next_m", "h", "rule_id", "file_path")
+RECORD = ("place", "bucket", "no", "follows", "next_no", "own", "own_m", "next", "next_m", "h", "rule_id", "file_path")
 
 
 def snapshot_records(raw: DataFrame, placed: DataFrame) -> DataFrame:
@@ -80,22 +86,22 @@ def snapshot_records(raw: DataFrame, placed: DataFrame) -> DataFrame:
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))  # noqa: E731  null differs from ''
     hashed = rows.withColumn("h", F.xxhash64(part("rule_id"), part("file_path")))
     sides = F.filter(F.array_distinct(F.array(F.when(F.col("follows"), F.col("own")), F.col("next"))), lambda x: x.isNotNull())
-    there = hashed.join(placed, "run_id").withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(11)), F.col("b"))).withColumn("stretch", F.explode(sides)).drop("b")
-    per = there.repartition("project_id", "stretch", "bucket").groupBy(*RECORD).agg(F.min("start_line").alias("lo"), F.max("start_line").alias("hi"), F.max("sev").alias("sev"))
+    there = hashed.join(placed, "run_id").withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(11)), F.col("b"))).withColumn("place", F.explode(sides)).drop("b", "run_id")
+    per = there.repartition("place", "bucket").groupBy(*RECORD).agg(F.min("start_line").alias("lo"), F.max("start_line").alias("hi"), F.max("sev").alias("sev"))
     # the digest speaks of the key as well: with h it has 128 bits
     return per.withColumn("d", F.xxhash64(F.coalesce("lo", F.lit(-1)), F.coalesce("hi", F.lit(-1)), "sev", part("file_path"), part("rule_id"))).drop("lo", "hi", "sev")
 
 
-PLACE = ("project_id", "stretch", "bucket", "pair")
+PLACE = ("place", "bucket", "pair")
 
 
 def signed_elements(records: DataFrame) -> DataFrame:
     """Each record under its own run with sign +1 and under the next run with sign -1, with the size ``m`` of the pair's tables."""
     sides = F.array(
-        F.when(F.col("follows") & (F.col("own") == F.col("stretch")), F.struct(F.col("run_id").alias("pair"), F.lit(1).alias("sign"), F.col("own_m").alias("m"))),
-        F.when(F.col("next") == F.col("stretch"), F.struct(F.col("next_id").alias("pair"), F.lit(-1).alias("sign"), F.col("next_m").alias("m"))),
+        F.when(F.col("follows") & (F.col("own") == F.col("place")), F.struct(F.col("no").alias("pair"), F.lit(1).alias("sign"), F.col("own_m").alias("m"))),
+        F.when(F.col("next") == F.col("place"), F.struct(F.col("next_no").alias("pair"), F.lit(-1).alias("sign"), F.col("next_m").alias("m"))),
     )
-    return records.withColumn("s", F.explode(F.filter(sides, lambda x: x.isNotNull()))).select("project_id", "stretch", "bucket", "s.pair", "s.sign", "s.m", "rule_id", "file_path", "h", "d")
+    return records.withColumn("s", F.explode(F.filter(sides, lambda x: x.isNotNull()))).select("place", "bucket", "s.pair", "s.sign", "s.m", "rule_id", "file_path", "h", "d")
 
 
 def difference_cells(elements: DataFrame) -> DataFrame:
@@ -167,7 +173,7 @@ def spark_xxhash64(h: int, d: int, last: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-PEELED = "project_id string, stretch int, bucket bigint, pair string, h bigint, d bigint, sign int"
+PEELED = "place bigint, bucket bigint, pair bigint, h bigint, d bigint, sign int"
 
 
 def _peel_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +192,7 @@ def _peel_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows += [(*place, h, d, n) for h, d, n in found]
             else:
                 rows.append((*place, None, None, 0))
-        kinds = {"project_id": object, "stretch": "int32", "bucket": "int64", "pair": object, "h": "Int64", "d": "Int64", "sign": "int32"}
+        kinds = {"place": "int64", "bucket": "int64", "pair": "int64", "h": "Int64", "d": "Int64", "sign": "int32"}
         yield pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=t) for k, (c, t) in enumerate(kinds.items())})
 
 
@@ -213,22 +219,25 @@ def full_comparison(elements: DataFrame) -> DataFrame:
 
 def snapshot_changes(raw: DataFrame, runs: DataFrame, first_cells: int = FIRST_CELLS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(scan_run_id, rule_id, file_path, change_kind) for every pair of consecutive snapshots."""
-    placed = cut_lineage(placed_runs(raw, snapshot_pairs(runs), first_cells))
+    placed = placed_runs(raw, snapshot_pairs(runs), first_cells)
     # kept while the tables are built and looked up; what an executor loses is computed again
     records = snapshot_records(raw, placed).persist(StorageLevel.MEMORY_AND_DISK)
     elements = signed_elements(records)
     found, _ = changed_elements(elements, max_rounds)
     held = elements.select(*PLACE, "h", "d", "sign", F.struct("rule_id", "file_path").alias("key"))
     same = [*PLACE, "h", "d", "sign"]
-    looked_up = cut_lineage(found.join(held, same, "left"))
-    lost = looked_up.where("key is null").select(*PLACE).distinct()
-    if not lost.isEmpty():  # a digest that no snapshot holds
+    n = found.count()
+    # numbers only: where they are few they are sent to the records, else both are moved
+    looked_up = cut_lineage(held.join(F.broadcast(found) if n <= MAX_BROADCAST else found, same))
+    if looked_up.count() != n:  # a digest that no snapshot holds
+        lost = found.join(looked_up, same, "left_anti").select(*PLACE).distinct()
         again = full_comparison(elements.join(lost, list(PLACE), "left_semi")).join(held, same)
         looked_up = cut_lineage(looked_up.join(lost, list(PLACE), "left_anti").unionByName(again))
     records.unpersist()
     plus, minus = F.max(F.col("sign") > 0), F.max(F.col("sign") < 0)
     kind = F.when(plus & minus, "changed").when(plus, "added").otherwise("removed")
-    return looked_up.groupBy("pair", "key").agg(kind.alias("change_kind")).select(F.col("pair").alias("scan_run_id"), "key.rule_id", "key.file_path", "change_kind")
+    changes = looked_up.groupBy("pair", "key").agg(kind.alias("change_kind"))
+    return changes.join(placed.select(F.col("no").alias("pair"), "run_id"), "pair").select(F.col("run_id").alias("scan_run_id"), "key.rule_id", "key.file_path", "change_kind")
 
 
 def change_counts(changes: DataFrame, runs: DataFrame) -> DataFrame:
