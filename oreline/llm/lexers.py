@@ -93,7 +93,8 @@ def _master(language: str) -> re.Pattern:
         char = r"'(?:[^'\\\n]|\\.)+'" if language in ("c", "java", "go") else r"'(?:[^'\\\n]|\\[\s\S])*'"
         double = r"\"(?:[^\"\\\n]|\\[\s\S])*\""
         if language == "c":
-            parts += [("directive", r"^[ \t]*#(?:[^\n\\]|\\[\s\S])*"), ("text", rf"(?:L|u8|[uU])?{double}|[LuU]?{char}")]
+            parts.insert(0, ("directive", r"^[ \t]*#(?:[^\n\\]|\\[\s\S])*"))  # before the space that may lead it
+            parts += [("text", rf"(?:L|u8|[uU])?{double}|[LuU]?{char}")]
         elif language == "java":
             parts += [("text", rf"\"\"\"[ \t]*\n(?:[^\\]|\\[\s\S])*?\"\"\"|{double}|{char}")]
         elif language == "go":

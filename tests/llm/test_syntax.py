@@ -60,6 +60,11 @@ def test_valid_and_broken_files(spark):
     assert [rows[i] for i in range(cut, len(rows)) if i not in got] == []
 
 
+def test_indented_directives(spark):
+    rows = [("int f(void) {\n  #ifdef X\n\treturn 1;\n\t# endif\n  return 0;\n}\n", None, "c"), ("int f(void) {\n  #incl <x>\n  return 0;\n}\n", None, "c")]
+    assert judge(spark, rows) == {1}
+
+
 def test_languages_nulls_and_copies(spark):
     bad = "def f("
     rows = [(bad, "r/x.py", None), (bad, "r/x.PY ", " "), (bad, "r/x.js", "Py"), (None, "r/x.py", "python"), (bad, "r/x.rb", None), (bad, None, None), (bad, "r/x.py", "cobol"), ("", "r/x.py", None), (bad, "r/y.py", "python"), ("x = 1", "r/x.py", None)]
