@@ -40,7 +40,7 @@ HASHES = 3
 FIRST_CELLS = 36
 GROWTH = 4
 MAX_ROUNDS = 4
-#: Recovered elements (numbers of some 40 bytes) up to which they are sent to all tasks.
+#: Rows of a few numbers (runs, recovered elements) up to which a table is sent to all tasks.
 MAX_BROADCAST = 500_000
 
 
@@ -217,19 +217,22 @@ def full_comparison(elements: DataFrame) -> DataFrame:
     return elements.groupBy(*PLACE, "h", "d").agg(F.sum("sign").cast("int").alias("sign")).where("sign != 0")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """The rows, to be sent to all tasks where they have been counted and are few; else joins move both sides."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST else rows
+
+
 def snapshot_changes(raw: DataFrame, runs: DataFrame, first_cells: int = FIRST_CELLS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(scan_run_id, rule_id, file_path, change_kind) for every pair of consecutive snapshots."""
-    placed = placed_runs(raw, snapshot_pairs(runs), first_cells)
+    placed = _few(placed_runs(raw, snapshot_pairs(runs), first_cells))
     # kept while the tables are built and looked up; what an executor loses is computed again
     records = snapshot_records(raw, placed).persist(StorageLevel.MEMORY_AND_DISK)
     elements = signed_elements(records)
     found, _ = changed_elements(elements, max_rounds)
     held = elements.select(*PLACE, "h", "d", "sign", F.struct("rule_id", "file_path").alias("key"))
     same = [*PLACE, "h", "d", "sign"]
-    n = found.count()
-    # numbers only: where they are few they are sent to the records, else both are moved
-    looked_up = cut_lineage(held.join(F.broadcast(found) if n <= MAX_BROADCAST else found, same))
-    if looked_up.count() != n:  # a digest that no snapshot holds
+    looked_up = cut_lineage(held.join(_few(found), same))
+    if looked_up.count() != found.count():  # a digest that no snapshot holds
         lost = found.join(looked_up, same, "left_anti").select(*PLACE).distinct()
         again = full_comparison(elements.join(lost, list(PLACE), "left_semi")).join(held, same)
         looked_up = cut_lineage(looked_up.join(lost, list(PLACE), "left_anti").unionByName(again))
