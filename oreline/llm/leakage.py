@@ -45,7 +45,7 @@ PASSAGE = RUN + STEP - 1
 #: Words by which windows of the grid are widened to hold every run of PASSAGE words.
 MARGIN = STEP // 2
 #: Dimensions of the latent space of the verbatim search, and of paraphrases, which look for likeness in the large.
-SEARCH_RANK = 1_024
+SEARCH_RANK = 768
 RANK = 32
 OVERSAMPLE = 8
 #: Words of the items that are searched in one pass over the documents.
@@ -53,7 +53,7 @@ BLOCK_WORDS = 40_000
 #: Rows of a matrix that are sent and summed together.
 ROWS = 64
 #: Passages from which one partial sum of the SVD comes.
-PART_PASSAGES = 65_536
+PART_PASSAGES = 16_384
 WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 
 
@@ -158,13 +158,6 @@ def _slices(batches: Iterator[pd.DataFrame], n_words: int = 60_000) -> Iterator[
         yield ids, held
 
 
-def _projected(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, weighted: np.ndarray) -> np.ndarray:
-    """Passage vectors times a matrix given with IDF weights and a last row of zeros for other words."""
-    sums = np.zeros((len(flat) + 1, weighted.shape[1]), np.float64)
-    np.cumsum(weighted[flat], axis=0, out=sums[1:])
-    return (sums[end] - sums[begin]).astype(np.float32)
-
-
 def _summed(parts: DataFrame, n: int, width: int) -> np.ndarray:
     """The sum of matrices sent as (block, part) rows: first within groups of partitions, then over the groups, so that no task
     holds more than about the square root of all parts."""
@@ -176,7 +169,7 @@ def _summed(parts: DataFrame, n: int, width: int) -> np.ndarray:
     kind = "block int, part binary"
     groups = max(1, int(parts.rdd.getNumPartitions() ** 0.5))
     some = parts.withColumn("g", F.spark_partition_id() % groups).groupBy("block", "g").applyInPandas(add, kind)
-    out = np.zeros((n, width))
+    out = np.zeros((n, width), np.float32)
     for block, part in some.groupBy("block").applyInPandas(add, kind).collect():  # the vocabulary's size, whatever the documents
         k = block * ROWS
         out[k : min(k + ROWS, n)] = np.frombuffer(part, np.float32).reshape(-1, width)
@@ -220,7 +213,9 @@ def gram_times(encoded: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.nd
             _scatter(total, flat[known], passage[known], w)
         yield _blocks(total * idf[:, None])
 
-    return _summed(encoded.mapInPandas(run, "block int, part binary"), n, width)
+    out = _summed(encoded.mapInPandas(run, "block int, part binary"), n, width)
+    shared.destroy()
+    return out
 
 
 def passages_times(passages: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
@@ -240,17 +235,21 @@ def passages_times(passages: DataFrame, idf: np.ndarray, matrix: np.ndarray) ->
                     _scatter(total, part[i, c], i, w)
         yield _blocks(total * idf[:, None])
 
-    return _summed(passages.mapInPandas(run, "block int, part binary"), n, width)
+    out = _summed(passages.mapInPandas(run, "block int, part binary"), n, width)
+    shared.destroy()
+    return out
 
 
 def latent_basis(encoded: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7, times=gram_times) -> np.ndarray:
     """Orthonormal right singular vectors (vocabulary x rank) of the documents' TF-IDF passages."""
     n = len(idf)
     width = min(rank + OVERSAMPLE, n)
-    q, _ = np.linalg.qr(times(encoded, idf, np.random.default_rng(seed).standard_normal((n, width))))
+    q, _ = np.linalg.qr(times(encoded, idf, np.random.default_rng(seed).standard_normal((n, width), np.float32)))
     image = times(encoded, idf, q)
-    _, vectors = np.linalg.eigh((q.T @ image + image.T @ q) / 2)
-    return np.ascontiguousarray((q @ vectors[:, ::-1])[:, : min(rank, width)])
+    small = (q.T @ image).astype(np.float64)
+    del image
+    _, vectors = np.linalg.eigh((small + small.T) / 2)
+    return np.ascontiguousarray(q @ vectors[:, ::-1][:, : min(rank, width)].astype(np.float32))
 
 
 def squared_norms(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -294,13 +293,13 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _item_space(items: Items, idf: np.ndarray, basis: np.ndarray) -> dict:
-    weighted = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))])
+    weighted = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
     flat = np.concatenate(items.passages)
     ends = np.cumsum([len(p) for p in items.passages])
     latent = np.concatenate([np.add.reduceat(weighted[flat[a:b]], np.append(0, e[:-1] - a), axis=0) for e, a, b in _runs_of(ends)])
     total = squared_norms(items.padded(len(idf)), idf)
-    rest = np.sqrt(np.maximum(total - (latent**2).sum(axis=1), 0))
-    return {"latent": latent.astype(np.float32), "rest": rest, "norm": np.sqrt(total), "least": items.least_runs(idf), "owner": np.array(items.owner, np.int64)}
+    rest = np.sqrt(np.maximum(total - (latent.astype(np.float64) ** 2).sum(axis=1), 0))
+    return {"latent": latent, "rest": rest, "norm": np.sqrt(total), "least": items.least_runs(idf), "owner": np.array(items.owner, np.int64)}
 
 
 def _runs_of(ends: np.ndarray, size: int = 1_024) -> Iterator[tuple[np.ndarray, int, int]]:
