@@ -70,7 +70,7 @@ def greedy_matches(truth: DataFrame, found: DataFrame, keys: list[str], reach: i
     """(keys, truth_id, found_id, distance): every truth, in its order, takes the nearest finding at most ``reach`` lines away that is still free; the
     first of equally near ones. Sequential within a key group (one file and type), in parallel over groups."""
     kinds = dict(truth.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", truth_id bigint, found_id bigint, distance int"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", truth_id {kinds['id']}, found_id {dict(found.dtypes)['id']}, distance int"
 
     def match(t: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         t, f = t.sort_values("id"), f.sort_values("id")
@@ -88,10 +88,12 @@ def greedy_matches(truth: DataFrame, found: DataFrame, keys: list[str], reach: i
                     break
             if best:
                 free.pop(best[0])
-            rows.append((*(getattr(row, k) for k in keys), row.id, best[0] if best else None, best[1] if best else None))
+            rows.append((*(getattr(row, k) for k in keys), None if row.id != row.id else row.id, best[0] if best else None, best[1] if best else None))
         out = pd.DataFrame(rows, columns=[*keys, "truth_id", "found_id", "distance"])
-        return out.astype({"found_id": "Int64", "distance": "Int32"})
+        ints = {c: "Int64" for c, df in (("truth_id", truth_kind), ("found_id", found_kind)) if df == "bigint"}
+        return out.astype(ints | {"distance": "Int32"})
 
+    truth_kind, found_kind = kinds["id"], dict(found.dtypes)["id"]
     return truth.select(*keys, "id", "line").groupBy(*keys).cogroup(found.select(*keys, "id", "line").groupBy(*keys)).applyInPandas(match, schema)
 
 

@@ -48,6 +48,13 @@ def forest_score(n: int, sample: int = 256) -> float:
     return float(2 ** (-np.log(s) / c)) if c else 1.0
 
 
+def forest_scores(n: Column, sample: int = 256) -> Column:
+    """:func:`forest_score` as a column of group sizes."""
+    s = F.least(n, F.lit(sample))
+    c = 2 * (F.log(s - 1) + 0.5772156649) - 2 * (s - 1) / s
+    return F.when(s < 2, 1.0).otherwise(F.pow(F.lit(2.0), -F.log(s) / c))
+
+
 def entropy_by(df: DataFrame, keys: Sequence[str], value: Column, name: str = "h") -> DataFrame:
     """Entropy in bits of a value's distribution per key group, and the entropy over the logarithm of the number of values."""
     counts = df.groupBy(*keys, value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))

@@ -193,7 +193,7 @@ def eval_v4_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 def eval_j17_greedy(spark: SparkSession, d: str) -> DataFrame:
     base = F.lower(F.element_at(F.split("file_path", "/"), -1)).alias("file")
-    t = table(spark, d, "findings").select("scan_run_id", base, F.col("rule_id").alias("rule"), F.xxhash64("id").alias("id"), F.col("start_line").alias("line")).where("line is not null").distinct()
+    t = table(spark, d, "findings").select("scan_run_id", base, F.col("rule_id").alias("rule"), "id", F.col("start_line").alias("line")).where("line is not null").distinct()
     f = table(spark, d, "raw_findings").select("scan_run_id", base, F.lower("rule_id").alias("rule"), F.col("raw_id").alias("id"), F.col("start_line").alias("line")).where("line is not null")
     return findings.greedy_matches(t, f, ["scan_run_id", "file", "rule"]).where("truth_id is not null")
 
