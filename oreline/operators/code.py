@@ -52,6 +52,7 @@ def injection_score(text: Column) -> Column:
     return out
 
 
+# What reads as a name, an assignment, a head of a declaration, a parameter list and a branch.
 IDENT = r"\b([A-Za-z_$][\w$]*)\b"
 ASSIGN = r"\b([A-Za-z_$][\w$]*)\s*=(?!=)"
 HEADER = r"^\s*(function|class|interface|type|enum|namespace|module|export\s+function|export\s+class)"

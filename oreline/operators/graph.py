@@ -77,6 +77,18 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, max_rounds: int =
     raise RuntimeError("the closure did not end")
 
 
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """(strongly_connected): whether every node reaches every other: one node reaches all, and all reach it. Two searches, no closure of all pairs. True without
+    nodes."""
+    spark, nodes = edges.sparkSession, cut_lineage(nodes_of(edges))
+    n, first = nodes.count(), nodes.agg(F.min("id")).first()[0]
+    if not n:
+        return spark.createDataFrame([(True,)], "strongly_connected boolean")
+    start = nodes.where(F.col("id") == first)
+    whole = all(levels(e, start).count() == n for e in (edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return spark.createDataFrame([(whole,)], "strongly_connected boolean")
+
+
 def levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(id, level): breadth-first levels from several starts, which have level 0."""
     start = starts.select("id").distinct()

@@ -100,6 +100,16 @@ def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str], update: b
 
 
 def rolling_sum(df: DataFrame, keys: Sequence[str], micros: str, value: str, hours: int, name: str) -> DataFrame:
-    """Sum of ``value`` over the hours up to and including each row."""
-    w = Window.partitionBy(*keys).orderBy(micros).rangeBetween(-hours * 3_600_000_000, 0)
-    return df.withColumn(name, F.sum(value).over(w))
+    """Sum of ``value`` over the hours up to and including each row. Rows are cut into stretches of that length, each seen with the one before it: a key with a third
+    of all rows is spread over its time."""
+    span = hours * 3_600_000_000
+    stretch = F.floor(F.col(micros) / span)
+    rows = df.withColumn("_own", stretch).withColumn("_at", F.explode(F.array("_own", F.col("_own") + 1)))
+    w = Window.partitionBy(*keys, "_at").orderBy(micros).rangeBetween(-span, 0)
+    return rows.withColumn(name, F.sum(value).over(w)).where("_own = _at").drop("_own", "_at")
+
+
+def with_totals(df: DataFrame, totals: Mapping[str, str]) -> DataFrame:
+    """The rows with the sums over all rows (name: column): one row of partial sums, joined to all, in place of a window over everything."""
+    one = df.agg(*(F.sum(c).alias(n) for n, c in totals.items()))
+    return df.crossJoin(F.broadcast(one))  # one row

@@ -95,10 +95,11 @@ SECRETS = (
     ("Password assignment", r"""(?i)(password|passwd|pwd|secret|api_key|apikey|token)\s*=\s*["']([^"']{4,})["']"""),
 )
 
-#: Names that are no variables.
-NOT_VARIABLES = tuple(
-    "if else for while do switch case break continue return function class new var let const this super try catch throw finally yield await async of in"
-    " typeof instanceof void delete true false null undefined import export from default as console log error warn info debug Math Number String Array Object JSON Date"
-    " Promise Error RegExp Map Set Symbol require module exports global globalThis window document process Buffer setTimeout setInterval clearTimeout clearInterval"
-    " db app router req res next ctx err".split()
-)
+#: Names that are no variables (fixed values).
+NOT_VARIABLES = (
+    "if", "else", "for", "while", "do", "switch", "case", "break", "continue", "return", "function", "class", "new", "var", "let", "const", "this", "super", "try",
+    "catch", "throw", "finally", "yield", "await", "async", "of", "in", "typeof", "instanceof", "void", "delete", "true", "false", "null", "undefined", "import",
+    "export", "from", "default", "as", "console", "log", "error", "warn", "info", "debug", "Math", "Number", "String", "Array", "Object", "JSON", "Date", "Promise",
+    "Error", "RegExp", "Map", "Set", "Symbol", "require", "module", "exports", "global", "globalThis", "window", "document", "process", "Buffer", "setTimeout",
+    "setInterval", "clearTimeout", "clearInterval", "db", "app", "router", "req", "res", "next", "ctx", "err",
+)

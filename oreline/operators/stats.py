@@ -72,6 +72,8 @@ def spectrum(signal: DataFrame, n: int) -> DataFrame:
 
 
 BLOCK_ROWS = 512
+#: Queries up to which their vectors are broadcast.
+MAX_QUERIES = 50_000
 
 
 def _blocks(df: DataFrame, name: str) -> DataFrame:
@@ -99,7 +101,10 @@ def top_similar(queries: DataFrame, rows: DataFrame, k: int, threshold: float) -
     """(query_id, id, cosine, place): for each query (id, vector) its ``k`` most similar other rows with a cosine of at least ``threshold``;
     ties go to the smaller id. A stated query set is scored against all rows, block by block; each pair of blocks hands on at most
     k rows a query."""
-    pairs = _blocks(queries, "q").crossJoin(_blocks(rows, "r"))  # blocks, not rows
+    asked = _blocks(queries, "q")
+    few = queries.count() <= MAX_QUERIES
+    # blocks, not rows; the stated queries are sent to the rows where they have been counted and are few, else both are cut into parts that meet
+    pairs = _blocks(rows, "r").crossJoin(F.broadcast(asked)) if few else _blocks(rows, "r").crossJoin(asked.hint("shuffle_replicate_nl"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

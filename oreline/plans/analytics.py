@@ -26,11 +26,6 @@ def _supply(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
 
 
-def _thin(spark: SparkSession, d: str) -> DataFrame:
-    """The steps between event types that go forward in the alphabet, each once: a graph without cycles."""
-    return _steps(spark, d).where(F.col("src") < F.col("dst")).distinct()
-
-
 def _ids(spark: SparkSession, *values: str) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], "id string")
 
@@ -44,19 +39,19 @@ def graph_g3_degree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_g5_pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pagerank(_steps(spark, d), iterations=6).select("id", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(_steps(spark, d)).select("id", F.round("rank", 6).alias("rank"))
 
 
 def graph_g6_closure(spark: SparkSession, d: str) -> DataFrame:
-    return graph.closure(_thin(spark, d))
+    return graph.closure(_steps(spark, d))
 
 
 def graph_g8_levels(spark: SparkSession, d: str) -> DataFrame:
-    return graph.levels(_thin(spark, d), _ids(spark, "click", "error"))
+    return graph.levels(_steps(spark, d), _ids(spark, "click", "error"))
 
 
 def graph_g9_paths(spark: SparkSession, d: str) -> DataFrame:
-    return graph.simple_paths(_steps(spark, d), _ids(spark, "click"), 4).select(F.array_join("path", ">").alias("path"))
+    return graph.simple_paths(_steps(spark, d), _ids(spark, "click")).select(F.array_join("path", ">").alias("path"))
 
 
 def graph_g12_crossing(spark: SparkSession, d: str) -> DataFrame:
@@ -226,7 +221,8 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _STEPS = "e AS (SELECT * FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL)"
-_THIN = f"{_STEPS}, s AS (SELECT DISTINCT src, dst FROM e WHERE src < dst)"
+#: Five event types: no shortest path or shortest circle among them has more than five steps.
+_DISTINCT = f"{_STEPS}, s AS (SELECT DISTINCT src, dst FROM e)"
 _RANKS = "n AS (SELECT count(*)::double AS n FROM (SELECT src FROM e UNION SELECT dst FROM e)), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS o FROM e GROUP BY src), w AS (SELECT e.src, e.dst, count(*)::double / any_value(o.o) AS share FROM e JOIN o ON o.src = e.src GROUP BY 1, 2), r0 AS (SELECT id, 1 / n AS rank FROM v, n)"
 _CONFQ = "CASE lower(confidence) WHEN 'high' THEN 0.9 WHEN 'medium' THEN 0.6 WHEN 'low' THEN 0.3 ELSE 0.1 END"
 _RANKQ = "CASE lower(severity) WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
@@ -245,10 +241,10 @@ def _confusion(keys: str, where: str = "") -> str:
 SQL = {
     "graph_g1_components": "WITH m AS (SELECT c_nationkey, least(min('c' || c_custkey), min('n' || c_nationkey)) AS component FROM customer GROUP BY 1) SELECT 'c' || c_custkey AS id, component FROM customer JOIN m USING (c_nationkey) UNION ALL SELECT 'n' || c_nationkey, component FROM m",
     "graph_g3_degree": "WITH e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem) SELECT id, count(*) AS degree, count(*) FILTER (WHERE i) AS n_in, count(*) FILTER (WHERE NOT i) AS n_out FROM (SELECT src AS id, false AS i FROM e UNION ALL SELECT dst, true FROM e) GROUP BY id",
-    "graph_g5_pagerank": f"WITH {_STEPS}, {_RANKS}" + "".join(f", r{k} AS (SELECT v.id, 0.15 / any_value(n.n) + 0.85 * coalesce(sum(r.rank * w.share), 0) AS rank FROM v CROSS JOIN n LEFT JOIN w ON w.dst = v.id LEFT JOIN r{k - 1} r ON r.id = w.src GROUP BY v.id)" for k in range(1, 7)) + " SELECT id, round(rank, 6) AS rank FROM r6",
-    "graph_g6_closure": f"WITH RECURSIVE {_THIN}, c AS (SELECT src, dst, 1 AS hops FROM s UNION SELECT c.src, s.dst, hops + 1 FROM c JOIN s ON s.src = c.dst WHERE hops < 6) SELECT src, dst, min(hops) AS hops FROM c GROUP BY 1, 2",
-    "graph_g8_levels": f"WITH RECURSIVE {_THIN}, c AS (SELECT unnest(['click', 'error']) AS id, 0 AS level UNION SELECT s.dst, level + 1 FROM c JOIN s ON s.src = c.id WHERE level < 6) SELECT id, min(level) AS level FROM c GROUP BY 1",
-    "graph_g9_paths": f"WITH RECURSIVE {_STEPS}, s AS (SELECT DISTINCT src, dst FROM e), p AS (SELECT ['click'] AS path, 'click' AS last UNION ALL SELECT list_append(path, dst), dst FROM p JOIN s ON s.src = p.last WHERE NOT list_contains(path, dst) AND len(path) < 4) SELECT array_to_string(path, '>') AS path FROM p WHERE len(path) > 1",
+    "graph_g5_pagerank": f"WITH RECURSIVE {_STEPS}, {_RANKS}, it AS (SELECT 0 AS k, id, rank FROM r0 UNION ALL SELECT g.k, v.id, 0.15 / n.n + 0.85 * g.got FROM (SELECT it.k + 1 AS k, w.dst, sum(it.rank * w.share) AS got FROM it JOIN w ON w.src = it.id WHERE it.k < 100 GROUP BY 1, 2) g JOIN v ON v.id = g.dst CROSS JOIN n) SELECT id, round(rank, 6) AS rank FROM it WHERE k = 100",
+    "graph_g6_closure": f"WITH RECURSIVE {_DISTINCT}, c AS (SELECT src, dst, 1 AS hops FROM s UNION SELECT c.src, s.dst, hops + 1 FROM c JOIN s ON s.src = c.dst WHERE hops < 6) SELECT src, dst, min(hops) AS hops FROM c GROUP BY 1, 2",
+    "graph_g8_levels": f"WITH RECURSIVE {_DISTINCT}, c AS (SELECT unnest(['click', 'error']) AS id, 0 AS level UNION SELECT s.dst, level + 1 FROM c JOIN s ON s.src = c.id WHERE level < 6) SELECT id, min(level) AS level FROM c GROUP BY 1",
+    "graph_g9_paths": f"WITH RECURSIVE {_STEPS}, s AS (SELECT DISTINCT src, dst FROM e), p AS (SELECT ['click'] AS path, 'click' AS last UNION ALL SELECT list_append(path, dst), dst FROM p JOIN s ON s.src = p.last WHERE NOT list_contains(path, dst) AND len(path) < 10) SELECT array_to_string(path, '>') AS path FROM p WHERE len(path) > 1",
     "graph_g12_crossing": f"WITH {_STEPS} SELECT src, dst, count(*) AS n FROM e WHERE (src IN ('click', 'view') AND dst = 'error') OR (src = 'error' AND dst IN ('click', 'view')) GROUP BY 1, 2",
     "graph_g13_induced": f"WITH {_STEPS} SELECT src, dst, count(*) AS n FROM e WHERE src IN ('click', 'view', 'error') AND dst IN ('click', 'view', 'error') GROUP BY 1, 2",
     "graph_g19_junctions": f"WITH {_STEPS}, d AS (SELECT id, count(*) FILTER (WHERE i) AS a, count(*) FILTER (WHERE NOT i) AS b FROM (SELECT src AS id, false AS i FROM e UNION ALL SELECT dst, true FROM e) GROUP BY id) SELECT id, CASE WHEN b >= 2 THEN 'stable' ELSE 'unstable' END AS kind, round(a::double / greatest(b, 1), 6) AS ratio FROM d WHERE a >= 2 AND b >= 1",

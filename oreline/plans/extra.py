@@ -32,13 +32,11 @@ def join_j15_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_g7_strong(spark: SparkSession, d: str) -> DataFrame:
-    reach = graph.closure(analytics._steps(spark, d)).where("src <> dst").groupBy("src").agg(F.count(F.lit(1)).alias("reached"))
-    n = graph.nodes_of(analytics._steps(spark, d)).count()
-    return reach.agg((F.count_if(F.col("reached") == n - 1) == n).alias("strongly_connected"))
+    return graph.strongly_connected(analytics._steps(spark, d))
 
 
 def graph_g10_shortest(spark: SparkSession, d: str) -> DataFrame:
-    return graph.closure(analytics._thin(spark, d), spark.createDataFrame([("click",)], "id string")).select("dst", "hops")
+    return graph.closure(analytics._steps(spark, d), spark.createDataFrame([("click",)], "id string")).select("dst", "hops")
 
 
 def graph_g27_adjacency(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +62,7 @@ SQL = {
     "txt_t22_embedding": rf"WITH t AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\W+'), lambda x: x <> '')) AS t FROM eval_items WHERE text IS NOT NULL), n AS (SELECT item_id, t, count(*) AS n FROM t GROUP BY 1, 2), h AS (SELECT item_id, n, {_FNV} AS h FROM n), p AS (SELECT item_id, h % 128 AS bucket, n::double AS w FROM h UNION ALL SELECT item_id, xor(h >> 16, h & 65535) % 128, n * 0.5 FROM h), s AS (SELECT item_id, bucket, sum(w) AS w FROM p GROUP BY 1, 2) SELECT item_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 5) AS weight FROM s",
     "join_j15_as_of": "SELECT c.event_id, e.value AS last_error FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'error') e ON c.user_id = e.user_id AND c.ts > e.ts",
     "graph_g7_strong": f"WITH RECURSIVE {analytics._STEPS}, s AS (SELECT DISTINCT src, dst FROM e), c AS (SELECT src, dst FROM s UNION SELECT c.src, s.dst FROM c JOIN s ON s.src = c.dst), n AS (SELECT count(*) AS n FROM (SELECT src FROM e UNION SELECT dst FROM e)), r AS (SELECT src, count(*) AS k FROM c WHERE src <> dst GROUP BY 1) SELECT count(*) FILTER (WHERE k = n - 1) = any_value(n) AS strongly_connected FROM r, n",
-    "graph_g10_shortest": f"WITH RECURSIVE {analytics._THIN}, c AS (SELECT dst, 1 AS hops FROM s WHERE src = 'click' UNION SELECT s.dst, hops + 1 FROM c JOIN s ON s.src = c.dst WHERE hops < 6) SELECT dst, min(hops) AS hops FROM c GROUP BY 1",
+    "graph_g10_shortest": f"WITH RECURSIVE {analytics._DISTINCT}, c AS (SELECT dst, 1 AS hops FROM s WHERE src = 'click' UNION SELECT s.dst, hops + 1 FROM c JOIN s ON s.src = c.dst WHERE hops < 6) SELECT dst, min(hops) AS hops FROM c GROUP BY 1",
     "graph_g27_adjacency": f"WITH {analytics._STEPS} SELECT src, string_agg(dst, ',' ORDER BY dst) AS targets FROM (SELECT DISTINCT src, dst FROM e) GROUP BY 1",
     "stat_m4_mahalanobis": "WITH m AS (SELECT avg(p_size) AS mx, avg(p_retailprice) AS my, var_samp(p_size) AS vx, var_samp(p_retailprice) AS vy, covar_samp(p_size, p_retailprice) AS c FROM part), q AS (SELECT p_partkey, round(sqrt(((p_size - mx) * (p_size - mx) * vy - 2 * (p_size - mx) * (p_retailprice - my) * c + (p_retailprice - my) * (p_retailprice - my) * vx) / (vx * vy - c * c)), 5) AS distance FROM part, m) SELECT * FROM q WHERE distance > 2",
 }

@@ -16,7 +16,6 @@ from oreline.operators import relational as R
 from oreline.session import table
 
 NOW = "2026-03-01 00:00:00"
-TENANT = "0186e7b7-6000-779d-8007-0000000581e5"
 TABLES = ("usage_events", "projects", "targets", "scan_runs", "raw_findings", "findings", "poc_runs", "training_samples", "documents", "events", "customer", "orders", "lineitem", "nation", "region", "supplier", "part")
 
 #: Latest row of each id, as a common table expression.
@@ -45,7 +44,7 @@ _U = "u AS (SELECT *, <<ts>> AS moment, coalesce(prompt_tokens, 0) + coalesce(co
 
 TEXTS: dict[str, str] = {
     # predicates and projections
-    "sel_p01_filter": f"WITH {_F} SELECT id, severity, status FROM f WHERE tenant_id = '{TENANT}' AND severity IN ('critical', 'high') AND status = 'open'",
+    "sel_p01_filter": f"WITH {_F} SELECT id, severity, status FROM f WHERE tenant_id = (SELECT max(tenant_id) FROM f) AND severity IN ('critical', 'high') AND status = 'open'",
     "sel_p02_ilike": f"WITH {_F} SELECT id FROM f WHERE title ILIKE '%redirect%' OR file_path ILIKE '%session%'",
     "sel_p03_membership": f"WITH {_F} SELECT id, rule_id FROM f WHERE status NOT IN ('fixed', 'false_positive') AND <<has:engines:'semgrep'>>",
     "sel_p04_time": f"WITH {_F} SELECT id, CASE WHEN created_at >= <<now>> - interval '30' day THEN 'recent' ELSE 'month' END AS why FROM f WHERE created_at >= <<now>> - interval '30' day OR <<month:created_at>> = '2025-12'",
@@ -100,7 +99,7 @@ TEXTS: dict[str, str] = {
     "agg_a30_grand_total": f"WITH {_U} SELECT count(*) AS n, coalesce(sum(tokens), 0) AS tokens FROM u WHERE moment >= <<now>> - interval '90' day AND moment < <<now>>",
     "agg_a31_deliveries": f"WITH {_R} SELECT target_id, count(*) FILTER (WHERE status = 'success') AS ok, count(*) FILTER (WHERE status = 'failed') AS failed, <<us:max(finished_at)>> AS last_us FROM r WHERE trim(target_id) <> '' GROUP BY target_id",
     # order and limits
-    "ord_o1_multi_key": f"WITH {_F} SELECT id, {_RANK} AS sev_rank, <<us:last_seen_at>> AS seen_us, row_number() OVER (ORDER BY {_RANK} DESC, last_seen_at DESC NULLS LAST, id) AS place FROM f WHERE tenant_id = '{TENANT}'",
+    "ord_o1_multi_key": f"WITH {_F} SELECT id, {_RANK} AS sev_rank, <<us:last_seen_at>> AS seen_us, row_number() OVER (PARTITION BY tenant_id ORDER BY {_RANK} DESC, last_seen_at DESC NULLS LAST, id) AS place FROM f",
     "ord_o2_page": f"WITH {_F} SELECT id, severity FROM f ORDER BY created_at DESC, id LIMIT 20 OFFSET 40",
     "ord_o3_top": "SELECT engine, raw_id FROM (SELECT engine, raw_id, row_number() OVER (PARTITION BY engine ORDER BY start_line DESC, raw_id) AS n FROM raw_findings) WHERE n <= 5",
     "ord_o4_queue": f"WITH {_S}, {_P}, q AS (SELECT s.id, s.tenant_id, s.created_at, CASE p.sla_tier WHEN 'enterprise' THEN 0 WHEN 'priority' THEN 1 ELSE 2 END + CASE s.trigger_type WHEN 'manual' THEN 0 ELSE 3 END AS prio FROM s JOIN p ON p.id = s.project_id WHERE s.status IN ('queued', 'running')), k AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY prio, created_at, id) AS n FROM q) SELECT id, prio FROM k WHERE n <= 2 ORDER BY prio, created_at, id LIMIT 4",
@@ -127,7 +126,7 @@ def _spark_sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, d: str) -> DataFrame:
         sql = render(text, SPARK)
         for name in TABLES:
-            if name in sql:
+            if re.search(rf"\b{name}\b", sql):
                 table(spark, d, name).createOrReplaceTempView(name)
         return spark.sql(sql)
 
@@ -143,7 +142,25 @@ def sel_p12_comment(spark: SparkSession, d: str) -> DataFrame:
 
 def sel_p13_secured(spark: SparkSession, d: str) -> DataFrame:
     f = R.latest_rows(table(spark, d, "findings").select("id", "updated_at", "tenant_id", "customer_id", "status"))
-    return R.where_all(R.secured(f, TENANT, role="ProviderViewer"), {"status": ["open", "confirmed"]}).select("id")
+    tenant = table(spark, d, "findings").agg(F.max("tenant_id")).first()[0]
+    return R.where_all(R.secured(f, tenant, role="ProviderViewer"), {"status": ["open", "confirmed"]}).select("id")
+
+
+def _usage(spark: SparkSession, d: str) -> DataFrame:
+    u = table(spark, d, "usage_events").where(F.col("ts").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T"))
+    u = u.withColumn("moment", F.expr("try_cast(ts AS timestamp)")).where("moment is not null")
+    return u.withColumn("tokens", F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0)))
+
+
+def win_w10_rolling_quota(spark: SparkSession, d: str) -> DataFrame:
+    e = _usage(spark, d).where("provider is not null").groupBy("provider", F.unix_micros("moment").alias("us")).agg(F.sum("tokens").alias("tokens"))
+    return R.rolling_sum(e, ["provider"], "us", "tokens", 24, "tokens_24h").select("provider", "us", "tokens_24h")
+
+
+def agg_a09_report(spark: SparkSession, d: str) -> DataFrame:
+    key = F.when(F.coalesce("scan_id", F.lit("")) != "", F.substring("scan_id", 1, 8)).otherwise("unknown")
+    g = _usage(spark, d).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.sum(F.coalesce("cost_usd", F.lit(0)).cast("decimal(20,8)")).cast("double").alias("cost"))
+    return R.with_totals(g, {"total_n": "n", "total_tokens": "tokens"})
 
 
 def log_z6_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +170,7 @@ def log_z6_upsert(spark: SparkSession, d: str) -> DataFrame:
     return R.upsert(old, new, ["rule", "file_path"])
 
 
-QUERIES = {name: _spark_sql(text) for name, text in TEXTS.items()} | {f.__name__: f for f in (sel_p12_comment, sel_p13_secured, log_z6_upsert)}
+QUERIES = {name: _spark_sql(text) for name, text in TEXTS.items()} | {f.__name__: f for f in (sel_p12_comment, sel_p13_secured, log_z6_upsert, win_w10_rolling_quota, agg_a09_report)}
 
 
 def _duck(text: str) -> str:
@@ -162,6 +179,6 @@ def _duck(text: str) -> str:
 
 SQL = {name: _duck(text) for name, text in TEXTS.items()} | {
     "sel_p12_comment": r"WITH l AS (SELECT id, unnest(string_split(code, chr(10))) AS line FROM training_samples WHERE code IS NOT NULL) SELECT id, count(*) AS n_lines, count(*) FILTER (WHERE contains(line, '//') OR starts_with(ltrim(line), '#') OR starts_with(ltrim(line), '*') OR starts_with(ltrim(line), '/*')) AS n_comment FROM l GROUP BY id",
-    "sel_p13_secured": f"WITH h AS (SELECT id, max({{'u': updated_at, 't': tenant_id, 'c': customer_id, 's': status}}) AS h FROM findings GROUP BY id) SELECT id FROM h WHERE h.t = '{TENANT}' AND h.s IN ('open', 'confirmed')",
+    "sel_p13_secured": f"WITH h AS (SELECT id, max({{'u': updated_at, 't': tenant_id, 'c': customer_id, 's': status}}) AS h FROM findings GROUP BY id) SELECT id FROM h WHERE h.t = (SELECT max(tenant_id) FROM findings) AND h.s IN ('open', 'confirmed')",
     "log_z6_upsert": "WITH o AS (SELECT lower(rule_id) AS rule, file_path, min(raw_id) AS raw_id FROM raw_findings WHERE engine = 'dfg' GROUP BY ALL), n AS (SELECT lower(rule_id) AS rule, file_path, max(raw_id) AS raw_id FROM raw_findings WHERE engine <> 'dfg' GROUP BY ALL) SELECT coalesce(o.rule, n.rule) AS rule, coalesce(o.file_path, n.file_path) AS file_path, coalesce(n.raw_id, o.raw_id) AS raw_id FROM o FULL JOIN n ON o.rule = n.rule AND o.file_path = n.file_path",
 }

@@ -28,11 +28,18 @@ def language_of(path: Column | str, default: str = "python") -> Column:
 
 
 def read_tree(spark: SparkSession, root: str, max_bytes: int = 10_000_000) -> DataFrame:
-    """(path, language, text) of the source files under a folder, one row a file; skipped folders are pruned by path, larger files by size."""
+    """(path, language, n_bytes, text) of the source files under a folder, one row a file; skipped folders are pruned by path. Files above ``max_bytes`` keep their
+    row with a null text, so that they can be counted (``too_large``) or read with a higher limit."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    keep = ending.isin(*LANGUAGES) & ~F.col("path").rlike("/(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/") & (F.col("length") <= max_bytes)
-    return files.where(keep).select("path", language_of("path").alias("language"), F.col("content").cast("string").alias("text"))
+    keep = ending.isin(*LANGUAGES) & ~F.col("path").rlike("/(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/")
+    text = F.when(F.col("length") <= max_bytes, F.col("content").cast("string"))
+    return files.where(keep).select("path", language_of("path").alias("language"), F.col("length").alias("n_bytes"), text.alias("text"))
+
+
+def too_large(tree: DataFrame) -> DataFrame:
+    """(language, n_files, n_bytes) of the files whose text was not read."""
+    return tree.where("text is null").groupBy("language").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_bytes").alias("n_bytes"))
 
 
 def read_usage(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
