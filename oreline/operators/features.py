@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from oreline.functions.text import parse_instant, strip
 from oreline.session import cut_lineage
 
-#: More event types than this are refused for the wide form: its width must stay bounded.
+#: Event types that get columns of their own where no list is given; rarer ones are summed in ``*_other``. A width needs a bound.
 MAX_TYPES = 2_000
 #: Names of the totals in the pivot; no event type starts so.
 ALL, OTHER = "\0all", "\0other"
@@ -68,16 +68,15 @@ def features_wide(long: DataFrame, types: Sequence[str] | None = None, as_of: st
     """One row per entity; for each type ``n_<type>``, ``cost_<type>`` and ``age_<type>`` (seconds from the
     type's latest event to ``as_of``), then the same over all types and over those outside ``types``.
 
-    ``types`` is the explicit list to pivot; where it is not given it is read from the compact table
-    (refused beyond ``MAX_TYPES``). ``as_of`` is an ISO time, else the latest event. Counts of absent types
+    ``types`` is the explicit list to pivot; where it is not given it is read from the compact table: the types that most entities
+    have, up to ``MAX_TYPES`` (ties in the order of names). ``as_of`` is an ISO time, else the latest event. Counts of absent types
     are 0, their ages null. Nothing is dropped: types outside the list are summed in ``*_other``.
     """
     if types is None or as_of is None:
         long = cut_lineage(long)
     if types is None:
-        types = sorted(r[0] for r in long.select("event_type").distinct().limit(MAX_TYPES + 1).collect())
-    if len(types) > MAX_TYPES:
-        raise ValueError(f"more than {MAX_TYPES} event types: give the list to pivot")
+        usual = long.groupBy("event_type").count().orderBy(F.desc("count"), "event_type").limit(MAX_TYPES)
+        types = sorted(r[0] for r in usual.collect())
     names = {}
     for t in types:
         name = column_name(t)

@@ -24,7 +24,9 @@ def p2_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_features(spark: SparkSession, d: str) -> DataFrame:
-    return features.features_wide(_long(spark, d))
+    wide = features.features_wide(_long(spark, d))
+    digits = {"cost_": 6, "age_": 3}
+    return wide.select(*(next((F.round(c, k).alias(c) for p, k in digits.items() if c.startswith(p)), F.col(c)) for c in wide.columns))
 
 
 def _refs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -63,6 +65,11 @@ _USABLE = f"""
   FROM usage_events
   WHERE regexp_full_match(trim(ts), '{_ISO}') AND try_cast(ts AS timestamptz) IS NOT NULL
     AND {_STRIP.format('scan_id')} <> '' AND {_STRIP.format('capability')} <> '')"""
+_AGED = f"""WITH {_USABLE},
+ once AS (SELECT scan_id, capability, request_id, max(moment) AS moment, (max({{'k': cost_usd IS NOT NULL, 'r': received_at, 'c': cost_usd}})).c AS cost FROM usable GROUP BY 1, 2, 3),
+ long AS (SELECT scan_id, capability, count(request_id) AS n, max(moment) AS last_at, coalesce(sum(CASE WHEN request_id IS NOT NULL THEN cost END), 0) AS cost FROM once GROUP BY 1, 2),
+ aged AS (SELECT scan_id, 'T' || regexp_replace(capability, '[^A-Za-z0-9_]', '_', 'g') AS kind, n, cost, epoch_us((SELECT max(last_at) FROM long)) / 1e6 - epoch_us(last_at) / 1e6 AS age FROM long),
+ every AS (SELECT * FROM aged UNION ALL SELECT scan_id, 'Aall', n, cost, age FROM aged)"""
 _KEY = "nullif(lower(trim({0}, ' {{}}' || chr(9) || chr(10) || chr(13))), '')"
 _ORPHANS = f"""
  refs AS (
@@ -100,6 +107,11 @@ SQL = {
     "p2_long": f"""WITH {_USABLE},
  once AS (SELECT scan_id, capability, request_id, max(moment) AS moment, (max({{'k': cost_usd IS NOT NULL, 'r': received_at, 'c': cost_usd}})).c AS cost FROM usable GROUP BY 1, 2, 3)
  SELECT scan_id, capability, count(request_id) AS n_events, epoch_us(max(moment)) AS last_us, round(coalesce(sum(CASE WHEN request_id IS NOT NULL THEN cost END), 0), 6) AS cost FROM once GROUP BY 1, 2""",
+    # three pivots, as a pivot's columns are of one type; each reads its rows from a query of its own
+    "p2_features": "SELECT *, 0::bigint AS n_other, 0::double AS cost_other, NULL::double AS age_other FROM " + " JOIN ".join(
+        f"(SELECT * FROM (PIVOT ({_AGED} SELECT scan_id, '{name}_' || substr(kind, 2) AS c, {name} AS v FROM every) ON c USING {total} GROUP BY scan_id))" + (" USING (scan_id)" if name != "n" else "")
+        for name, total in (("n", "coalesce(sum(v), 0)::bigint"), ("cost", "round(coalesce(sum(v), 0), 6)"), ("age", "round(min(v), 3)"))
+    ),
     "p3_found": f"WITH {_ORPHANS} SELECT DISTINCT poc_run_id, ref_field FROM missed",
     "p3_report": f"""WITH {_ORPHANS},
  n AS (SELECT ref_table, strftime(moment AT TIME ZONE 'UTC', '%Y-%m') AS month, count(DISTINCT (poc_run_id, ref_field)) AS n_refs FROM refs GROUP BY 1, 2),
