@@ -1,9 +1,8 @@
 """References to records that do not exist.
 
-Keys are ordered by a 64-bit digest and cut into equal ranges of that order, so that ranges hold alike
-numbers of parents whatever the keys look like. The parents of a range form sorted arrays; batches of
-references to the range are looked up in them by vectorised binary search and the key is compared in full.
-A range that many references fall into (one parent named by a third of all rows) is probed in several
+Parents are range-partitioned by (table, key); each range is stored as one row of sorted arrays. The first keys of the ranges, one in
+``RANGE_ROWS`` parents, tell each reference its range; batches of references to a range are then looked up in its arrays by vectorised
+binary search. A range that many references fall into (one parent named by a third of all rows) is probed in several
 batches, each beside a copy of that range's arrays; the copies are bounded by ``range_rows``.
 
 Defined results
@@ -23,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oreline.functions.text import plain_key
+from oreline.session import cut_lineage
 
 RANGE_ROWS = 20_000
 BATCH_ROWS = 50_000
@@ -52,44 +52,68 @@ def parents(rows: DataFrame, name: str, id_col: str = "id", from_col: str = "cre
     )
 
 
+STORED = "rng int, low string, names array<string>, begins array<bigint>, ends array<bigint>"
+
+
+def _name() -> Column:
+    """Table and key as one text, in whose order ranges are cut."""
+    return F.concat("ref_table", F.lit("\0"), "key")
+
+
+def stored_ranges(held: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(rng, low, names, begins, ends): one row per range of about ``range_rows`` parents, sorted by name; all rows of a key are in one range."""
+    ranges = max(1, -(-held.count() // range_rows))
+    rows = held.select(_name().alias("name"), "valid_from", "valid_to").repartitionByRange(ranges, "name").sortWithinPartitions("name").withColumn("rng", F.spark_partition_id())
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [p for p in batches if len(p)]
+        if parts:
+            p = pd.concat(parts)
+            yield pd.DataFrame({"rng": p["rng"].iloc[:1], "low": p["name"].iloc[:1], "names": [p["name"].to_numpy(object)], "begins": [p["valid_from"].to_numpy(np.int64)], "ends": [p["valid_to"].to_numpy(np.int64)]})
+
+    return cut_lineage(rows.mapInPandas(pack, STORED))
+
+
 def probe(refs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     """The references of one batch that hold against no parent of the range."""
-    digest = held["digest"].to_numpy(np.int64)
-    order = np.argsort(digest, kind="stable")
-    digest, key = digest[order], held["key"].to_numpy(object)[order]
-    begin, end = held["valid_from"].to_numpy(np.int64)[order], held["valid_to"].to_numpy(np.int64)[order]
-    wanted, named = refs["digest"].to_numpy(np.int64), refs["key"].to_numpy(object)
+    if not len(held):
+        return refs[["ref_id", "ref_field", "ref_table", "at"]]
+    names, begin, end = (np.asarray(held[c].iloc[0], t) for c, t in (("names", object), ("begins", np.int64), ("ends", np.int64)))
+    wanted = refs["name"].to_numpy(object)
     known = refs["at"].notna().to_numpy()
     at = refs["at"].fillna(0).to_numpy(np.int64)
-    low, high = np.searchsorted(digest, wanted, "left"), np.searchsorted(digest, wanted, "right")
+    low, high = np.searchsorted(names, wanted, "left"), np.searchsorted(names, wanted, "right")
     holds = np.zeros(len(refs), bool)
     step = 0
-    while True:  # as many turns as one digest has parent rows
+    while True:  # as many turns as one key has parent rows
         left = np.flatnonzero((low + step < high) & ~holds & known)
         if not len(left):
             break
         k = low[left] + step
-        holds[left] = (key[k] == named[left]) & (begin[k] <= at[left]) & (end[k] > at[left])
+        holds[left] = (begin[k] <= at[left]) & (end[k] > at[left])
         step += 1
     return refs.loc[~holds, ["ref_id", "ref_field", "ref_table", "at"]]
 
 
 def orphans(refs: DataFrame, held: DataFrame, range_rows: int = RANGE_ROWS, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """(ref_id, ref_field, ref_table, at) of the references without a live parent, each once."""
-    n = held.count()
-    ranges = max(1, -(-n // range_rows))
-    digest = F.xxhash64("ref_table", "key")
-    # equal slices of the digest's order: the upper 32 bits, as a number from 0, times the number of ranges
-    upper = F.shiftrightunsigned(digest.bitwiseXOR(F.lit(-(2**63))), 32)
-    place = F.shiftrightunsigned(upper * F.lit(ranges), 32)
-    refs = refs.withColumn("digest", digest).withColumn("rng", place)
-    held = held.withColumn("digest", digest).withColumn("rng", place)
+    stored = stored_ranges(cut_lineage(held), range_rows)
+    first = sorted((r.low, r.rng) for r in stored.select("low", "rng").collect())  # one key a range
+    shared = refs.sparkSession.sparkContext.broadcast((np.array([x[0] for x in first], object), np.array([x[1] for x in first], np.int32)))
+
+    @F.pandas_udf("int")
+    def range_of(name: pd.Series) -> pd.Series:
+        lows, number = shared.value
+        k = np.searchsorted(lows, name.to_numpy(object), "right") - 1  # names before the first range have no parent
+        return pd.Series(number[np.maximum(k, 0)] if len(lows) else np.zeros(len(name), np.int32))
+
+    refs = refs.withColumn("name", _name()).withColumn("rng", range_of("name"))
     hot = refs.groupBy("rng").count().where(F.col("count") > batch_rows).select("rng", F.ceil(F.col("count") / batch_rows).cast("int").alias("parts"))
     parts = F.coalesce("parts", F.lit(1))
     batches = refs.join(hot, "rng", "left").withColumn("part", F.pmod(F.xxhash64("ref_id", "ref_field"), parts.cast("long")).cast("int"))
-    arrays = held.join(hot, "rng", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    left = batches.select("rng", "part", "ref_id", "ref_field", "ref_table", "key", "at", "digest")
-    right = arrays.select("rng", "part", "key", "digest", "valid_from", "valid_to")
+    arrays = stored.join(hot, "rng", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    left = batches.select("rng", "part", "ref_id", "ref_field", "ref_table", "name", "at")
+    right = arrays.select("rng", "part", "names", "begins", "ends")
     schema = f"ref_id {dict(refs.dtypes)['ref_id']}, ref_field string, ref_table string, at bigint"
     missed = left.groupBy("rng", "part").cogroup(right.groupBy("rng", "part")).applyInPandas(probe, schema)
     return missed.distinct()
