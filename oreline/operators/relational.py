@@ -78,6 +78,12 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each key group, in an order that ends in a unique column."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
 def page(df: DataFrame, order: Sequence[Column], offset: int, size: int) -> DataFrame:
     """One page of a total order."""
     return df.orderBy(*order).offset(offset).limit(size)

@@ -159,7 +159,7 @@ def win_w10_rolling_quota(spark: SparkSession, d: str) -> DataFrame:
 
 def agg_a09_report(spark: SparkSession, d: str) -> DataFrame:
     key = F.when(F.coalesce("scan_id", F.lit("")) != "", F.substring("scan_id", 1, 8)).otherwise("unknown")
-    g = _usage(spark, d).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.sum(F.coalesce("cost_usd", F.lit(0)).cast("decimal(20,8)")).cast("double").alias("cost"))
+    g = _usage(spark, d).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.sum(F.coalesce("cost_usd", F.lit(0)).cast("decimal(20,6)")).cast("double").alias("cost"))
     return R.with_totals(g, {"total_n": "n", "total_tokens": "tokens"})
 
 
