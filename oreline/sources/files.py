@@ -80,3 +80,44 @@ def sarif(findings: DataFrame) -> DataFrame:
     one = rows.agg(F.transform(F.sort_array(F.collect_list("o")), lambda o: o["result"]).alias("results"), rules.alias("rules"))
     doc = F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(F.struct(F.struct(F.lit("oreline").alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))).alias("runs"))
     return one.select(F.to_json(doc).alias("document"))
+
+
+def read_truth_json(spark: SparkSession, path: str) -> DataFrame:
+    """(category, file, type, line, is_real) of ground truth given as ``{category: {positives: [...], negatives: [...]}}``."""
+    entry = "array<struct<file:string,type:string,line:int>>"
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,struct<positives:{entry},negatives:{entry}>>").alias("m")).select(F.explode("m").alias("category", "v"))
+    each = lambda c, real: rows.select("category", F.explode(f"v.{c}").alias("e"), F.lit(real).alias("is_real"))
+    return each("positives", True).unionByName(each("negatives", False)).select("category", "e.file", "e.type", "e.line", "is_real")
+
+
+def read_state(spark: SparkSession, path: str, statuses: tuple[str, ...] = ("open", "confirmed", "fixed", "false_positive", "accepted_risk")) -> DataFrame:
+    """(fp, status, by, at) of a triage state ``{version, fingerprints: {fp: {status, by, at}}}``; entries without a known status are left out, a missing author
+    is 'unknown'. A file that is no JSON has no entries."""
+    kind = "struct<version:int,fingerprints:map<string,struct<status:string,by:string,at:string>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("s")).select(F.explode("s.fingerprints").alias("fp", "e"))
+    return rows.select("fp", "e.status", F.coalesce("e.by", F.lit("unknown")).alias("by"), F.coalesce("e.at", F.lit("")).alias("at")).where(F.col("status").isin(*statuses))
+
+
+def engine_status(reports: DataFrame) -> DataFrame:
+    """(engine, status, n_findings) of raw engine outputs (engine, report, exit_code, timed_out): success, partial (findings although the engine failed), failed, timeout."""
+    n = F.coalesce(F.size(F.from_json("report", "struct<findings:array<struct<rule_id:string>>>")["findings"]), F.lit(0))
+    n = F.greatest(n, F.lit(0))
+    status = F.when(F.coalesce("timed_out", F.lit(False)), "timeout").when(F.coalesce("exit_code", F.lit(0)) == 0, "success").when(n > 0, "partial").otherwise("failed")
+    return reports.select("engine", status.alias("status"), n.alias("n_findings"))
+
+
+def append_usage(events: DataFrame, path: str) -> None:
+    """Append usage events to a JSON-lines log; readers see whole files only."""
+    events.write.mode("append").json(path)
+
+
+def export_audit(rows: DataFrame, path: str) -> DataFrame:
+    """Write rows as CSV (quoted as RFC 4180 asks) and give (file, digest): the SHA-256 of each part, the export's manifest."""
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    parts = rows.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    return parts.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("digest"))
+
+
+def export_json(rows: DataFrame, exported_at: str) -> DataFrame:
+    """One JSON document ``{exported_at, total, events}`` of a bounded selection of log rows."""
+    return rows.agg(F.to_json(F.struct(F.lit(exported_at).alias("exported_at"), F.count(F.lit(1)).alias("total"), F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("events"))).alias("document"))
