@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreline.operators import finding_text as T
+from oreline.operators import locator
 from oreline.operators.relational import severity_rank
 from oreline.session import table
 
@@ -119,3 +120,32 @@ SQL = {
   round({_N.format(q(T.COMMENT))} / loc, 6) AS comments, round(least(coalesce(entropy, 0) / 8, 1), 6) AS entropy, round(least(mean_len / 200, 1), 6) AS mean_line, round(least(max_len / 500, 1), 6) AS longest_line
  FROM training_samples s JOIN m ON m.id = s.id LEFT JOIN h ON h.id = s.id WHERE code IS NOT NULL""",
 }
+
+
+#: The rules that the test tables' types stand for.
+RULE_OF = {"sql": "INJ-001", "cmd": "INJ-002", "xss": "INJ-005", "path": "INJ-006", "hardcoded": "AUTH-002", "buffer": "MEM-001"}
+
+
+def txt_t19_locator(spark: SparkSession, d: str) -> DataFrame:
+    conf = F.lower(F.trim("confidence"))
+    number = F.when(conf == "high", 0.9).when(conf == "medium", 0.6).when(conf == "low", 0.3).otherwise(0.1)
+    rows = table(spark, d, "raw_findings").select("raw_id", T.lookup(RULE_OF, kind_of(), F.lit("")).alias("rule"), F.col("title").alias("name"), F.col("cwe_ids").alias("cwes"), number.alias("confidence"), F.col("code_snippet").alias("text"))
+    return locator.locate(rows, "raw_id").withColumn("confidence", F.round("confidence", 6))
+
+
+QUERIES["txt_t19_locator"] = txt_t19_locator
+
+
+def _list(xs: tuple[str, ...]) -> str:
+    return "[" + ", ".join(q(x.lower()) for x in xs) + "]"
+
+
+_INFERRED = " || ".join(f"CASE WHEN {' OR '.join(f'contains(nm, {q(p)})' for p in parts)} THEN {_list(ks)} ELSE [] END" for parts, ks in locator.NAME_KEYWORDS)
+_KEYWORDS = "CASE rule " + " ".join(f"WHEN {q(r)} THEN {_list(ks)}" for r, ks in locator.RULE_KEYWORDS.items()) + f" ELSE CASE WHEN len({_INFERRED}) > 0 THEN {_INFERRED} ELSE {_list(locator.OTHER_KEYWORDS)} END END"
+SQL["txt_t19_locator"] = rf"""WITH d AS (SELECT raw_id, {case(RULE_OF, KIND, "''")} AS rule, lower(coalesce(title, '')) AS nm, coalesce(cwe_ids, []) AS cwes, CASE lower(trim(confidence)) WHEN 'high' THEN 0.9 WHEN 'medium' THEN 0.6 WHEN 'low' THEN 0.3 ELSE 0.1 END AS c, string_split(code_snippet, chr(10)) AS ls FROM raw_findings WHERE code_snippet IS NOT NULL),
+ k AS (SELECT raw_id, {_KEYWORDS} AS k, cwes, c, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM d),
+ s AS (SELECT *, round(len(list_filter(k, lambda x: contains(lower(line), x))) * 0.2 + CASE WHEN regexp_matches(line, {q(locator.INPUT)}) THEN 0.1 ELSE 0 END + len(list_filter(k, lambda x: contains(lower(regexp_extract(line, {q(locator.ASSIGNED)}, 2)), x))) * 0.15, 6)::double AS s,
+   {' OR '.join(f"(len(list_filter(cwes, lambda x: contains(x, {q(p)}))) > 0 AND regexp_matches(line, {q(r)}))" for p, r in locator.SINK_LINES)} AS sink FROM k),
+ b AS (SELECT raw_id, any_value(n) AS n, any_value(c) AS c, max(s) AS top, min(line_no) FILTER (WHERE s = best AND s > 0) AS at_line, min(line_no) FILTER (WHERE sink) AS sink FROM (SELECT *, max(s) OVER (PARTITION BY raw_id) AS best FROM s) GROUP BY 1)
+ SELECT raw_id, CASE WHEN top > 0 THEN greatest(1, at_line - 3) ELSE coalesce(sink, 1) END AS start_line, CASE WHEN top > 0 THEN least(n, at_line + 3) ELSE coalesce(sink, least(n, 3)) END AS end_line,
+  round((CASE WHEN top > 0 THEN least(1, c + top) WHEN sink IS NOT NULL THEN c * 0.7 ELSE c * 0.5 END)::double, 6) AS confidence, CASE WHEN top > 0 THEN 'scored' WHEN sink IS NOT NULL THEN 'sink' ELSE 'whole' END AS how FROM b"""
