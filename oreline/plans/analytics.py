@@ -268,5 +268,8 @@ SQL = {
     "eval_v1_confusion": _confusion(""),
     "eval_a22_per_cwe": _confusion("vulnerability_type", "WHERE vulnerability_type IS NOT NULL"),
     "eval_v4_matrix": "SELECT engine, " + ", ".join(f"count(*) FILTER (WHERE lower(severity) = '{s}') AS {s}" for s in ("critical", "high", "medium", "low")) + " FROM raw_findings GROUP BY engine",
+    # chains and running totals entry by entry, all users side by side
+    "log_z1_chain": "WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), c AS (SELECT user_id, event_id, k, sha256('0|' || event_id || '|' || event_type || '|' || coalesce(props, '')) AS hash FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_id, o.k, sha256(c.hash || '|' || o.event_id || '|' || o.event_type || '|' || coalesce(o.props, '')) FROM c JOIN o ON o.user_id = c.user_id AND o.k = c.k + 1) SELECT user_id, event_id, hash FROM c",
+    "log_z9_limited": "WITH RECURSIVE o AS (SELECT *, coalesce(value, 0) AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), c AS (SELECT user_id, k, x <= 200 AS ok, CASE WHEN x <= 200 THEN x ELSE 0 END AS total FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, c.total + o.x <= 200, CASE WHEN c.total + o.x <= 200 THEN c.total + o.x ELSE c.total END FROM c JOIN o ON o.user_id = c.user_id AND o.k = c.k + 1) SELECT user_id, count(*) FILTER (WHERE ok) AS n_accepted, count(*) FILTER (WHERE NOT ok) AS n_refused FROM c GROUP BY 1",
     "log_z2_broken": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events QUALIFY event_id % 97 = 0",
 }
