@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from oreline.llm import tokens
 
@@ -157,3 +159,13 @@ def split_documents(docs: DataFrame, limit: int = 512, overlap: int = 32, path:
 def divided(pieces: DataFrame) -> DataFrame:
     """The documents that were cut, each once."""
     return pieces.where("piece_no = 2").select("doc_id").distinct()
+
+
+def checked(pieces: DataFrame, docs: DataFrame, limit: int = 512) -> DataFrame:
+    """(doc_id, covers, fits): whether a document's pieces cover its text from the first character to the last, each beginning no later than the one before ends,
+    and whether none is above the limit. For documents with ids of their own."""
+    w = Window.partitionBy("doc_id").orderBy("piece_no")
+    rows = pieces.select("doc_id", "start_char", "end_char", "n_tokens", F.lag("end_char", 1, 0).over(w).alias("before"))
+    per = rows.groupBy("doc_id").agg(F.max("end_char").alias("end"), F.max(F.col("start_char") > F.col("before")).alias("gap"), F.max("n_tokens").alias("most"))
+    whole = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    return whole.join(per, "doc_id", "left").select("doc_id", F.coalesce((F.col("end") == F.col("n")) & ~F.col("gap"), F.lit(False)).alias("covers"), F.coalesce(F.col("most") <= limit, F.lit(False)).alias("fits"))

@@ -232,3 +232,12 @@ def fill_report(places: DataFrame, capacity: int = 2_048) -> DataFrame:
     per = places.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("n_items"), by("score"), by("size"))
     kind = F.when(F.col("container_id").startswith("full-"), "full").otherwise("packed").alias("kind")
     return per.groupBy(kind).agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("largest"), F.round(F.sum("used") / (F.count(F.lit(1)) * capacity), 4).alias("fill"), *(F.round(F.sum(c) / F.greatest(F.sum("used"), F.lit(1)), 4).alias(f"by_{c}") for c in ("score", "size")))
+
+
+def checked(places: DataFrame, capacity: int = 2_048) -> DataFrame:
+    """(n_documents, n_over_full, n_needlessly_divided): documents placed, containers over the capacity, and documents of at most the capacity with
+    more than one piece."""
+    used = places.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > capacity).alias("n_over_full"))
+    per = places.groupBy("doc_id").agg(F.sum("n_tokens").alias("size"), F.max("piece_no").alias("last"))
+    docs = per.agg(F.count("doc_id").alias("n_documents"), F.count_if((F.col("size") <= capacity) & (F.col("last") > 0)).alias("n_needlessly_divided"))
+    return docs.crossJoin(used).select("n_documents", "n_over_full", "n_needlessly_divided")  # one row each

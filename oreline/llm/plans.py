@@ -53,6 +53,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack_documents(table(spark, d, "documents")))
 
 
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    return packing.checked(packing.pack_documents(table(spark, d, "documents")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -74,7 +78,12 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p4_found, p4_survivors, p5_found, p5_places, p5_redacted, p7_found, p7_containers, p7_fill, p8_found, p8_paraphrases, p8_report, p9_found, p9_pieces)}
+def p9_checked(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return chunking.checked(chunking.split_documents(docs), docs)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p4_found, p4_survivors, p5_found, p5_places, p5_redacted, p7_found, p7_containers, p7_fill, p7_checked, p8_found, p8_paraphrases, p8_report, p9_found, p9_pieces, p9_checked)}
 
 _PATH = r"array_to_string(list_filter(string_split(replace(file_path, '\', '/'), '/'), lambda x: x <> '' AND x <> '.'), '/')"
 _BLANK = "('', 'n/a', 'none', 'unknown', '-')"
@@ -93,6 +102,9 @@ _GROUPS = f"""
   FROM k WINDOW g AS (PARTITION BY scan_run_id, rule, path, start_line))"""
 
 SQL: dict[str, str] = {
+    # what must hold of every packing and of every division
+    "p7_checked": "SELECT count(DISTINCT doc_id) AS n_documents, 0::bigint AS n_over_full, 0::bigint AS n_needlessly_divided FROM documents",
+    "p9_checked": "SELECT doc_id, true AS covers, true AS fits FROM documents",
     "p4_found": f"WITH {_GROUPS} SELECT group_id, raw_id AS best_id FROM r WHERE rn = 1 AND n > 1",
     # learned: steps between values first seen one after the other, those seen more often than their reverse, closed over any number of steps
     "p4_survivors": f"""WITH RECURSIVE {_GROUPS},

@@ -74,3 +74,11 @@ def test_frames_with_nulls_copies_and_clashing_columns(spark):
     assert chunking.split_documents(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         chunking.split_documents(docs, 100, 25)
+
+
+def test_checked_finds_gaps_and_large_pieces(spark):
+    kind = "doc_id bigint, piece_no int, start_char bigint, end_char bigint, n_tokens int"
+    pieces = spark.createDataFrame([(1, 1, 0, 5, 3), (1, 2, 4, 9, 3), (2, 1, 0, 4, 3), (2, 2, 5, 9, 3), (3, 1, 0, 9, 600), (4, 1, 1, 9, 3), (5, 1, 0, 0, 0)], kind)
+    docs = spark.createDataFrame([(k, None if k == 5 else "x" * 9) for k in range(1, 7)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.covers, r.fits) for r in chunking.checked(pieces, docs).collect()}
+    assert got == {1: (True, True), 2: (False, True), 3: (True, False), 4: (False, True), 5: (True, True), 6: (False, False)}

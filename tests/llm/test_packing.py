@@ -55,3 +55,10 @@ def test_neighbours_share_containers(spark):
         boxes.setdefault(p.container_id, []).append(p.doc_id % 2)
     mixed = sum(len(set(b)) > 1 for b in boxes.values())
     assert mixed <= 1
+
+
+def test_checked_counts_what_must_not_be(spark):
+    rows = [("a", 0, 1, 0, 0, 60), ("a", 1, 2, 0, 0, 70), ("b", 0, 3, 0, 0, 100), ("c", 0, 4, 0, 0, 50), ("d", 0, 4, 1, 50, 10)]
+    places = spark.createDataFrame(rows, "container_id string, slot int, doc_id bigint, piece_no int, start_token bigint, n_tokens int")
+    assert tuple(packing.checked(places, 100).first()) == (4, 1, 1)
+    assert tuple(packing.checked(places.limit(0), 100).first()) == (0, 0, 0)
