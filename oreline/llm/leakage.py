@@ -54,6 +54,8 @@ BLOCK_WORDS = 40_000
 ROWS = 64
 #: Passages from which one partial sum of the SVD comes.
 PART_PASSAGES = 16_384
+#: Groups of partitions whose sums are formed first.
+GROUPS = 256
 WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 
 
@@ -160,15 +162,14 @@ def _slices(batches: Iterator[pd.DataFrame], n_words: int = 60_000) -> Iterator[
 
 def _summed(parts: DataFrame, n: int, width: int) -> np.ndarray:
     """The sum of matrices sent as (block, part) rows: first within groups of partitions, then over the groups, so that no task
-    holds more than about the square root of all parts."""
+    holds more than ``GROUPS`` parts, or the partitions' number over ``GROUPS``."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(p, np.float32).astype(np.float64) for p in pdf["part"])
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [total.astype(np.float32).tobytes()]})
 
     kind = "block int, part binary"
-    groups = max(1, int(parts.rdd.getNumPartitions() ** 0.5))
-    some = parts.withColumn("g", F.spark_partition_id() % groups).groupBy("block", "g").applyInPandas(add, kind)
+    some = parts.withColumn("g", F.spark_partition_id() % GROUPS).groupBy("block", "g").applyInPandas(add, kind)
     out = np.zeros((n, width), np.float32)
     for block, part in some.groupBy("block").applyInPandas(add, kind).collect():  # the vocabulary's size, whatever the documents
         k = block * ROWS
