@@ -65,6 +65,32 @@ def test_a_field_of_many_values_is_no_vocabulary(spark, monkeypatch):
     assert (got[0].engine, got[0].n_rows, got[0].severity) == ("e13", 20, "high")  # of the latest values the longer one
 
 
+def chain(n):
+    """Groups that teach ``n`` engines to follow each other one by one."""
+    return [row(1000 + 2 * k + j, start_line=1000 + k, engine=f"x{k + j:03}", reported_at=T + dt.timedelta(hours=j)) for k in range(n - 1) for j in (0, 1)]
+
+
+def test_any_number_of_values_is_learned(spark):
+    ask = (row(1, engine="x000"), row(2, engine="x150", reported_at=None), row(3, engine="x120", reported_at=None))
+    for n in (151, 200, 201, 400):  # the group's result is the same beside other groups of few and of many values
+        got = run(spark, *chain(n), *ask)
+        assert (got[1].engine, got[1].n_rows) == ("x150", 3)
+
+
+def test_steps_answer_as_the_whole_precedence():
+    rng = random.Random(7)
+    for n in (3, 8, 8, 30, 30, 60):
+        pairs = {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(rng.choice((n, 2 * n)))) if a != b}
+        pairs -= {(b, a) for a, b in pairs if a < b}
+        whole = survivors.precedence(("s", str(a), str(b), 1) for a, b in pairs)
+        order = survivors.Order(("s", str(a), str(b)) for a, b in pairs)
+        for _ in range(100):
+            values = [str(rng.randrange(n + 2)) for _ in range(rng.randrange(1, 7))]
+            assert order.latest("s", values) == next(i for i, v in enumerate(values) if not whole.get(("s", v), set()) & set(values))
+    long = survivors.Order(("s", str(k), str(k + 1)) for k in range(100_000))
+    assert long.latest("s", ["0", "odd", "100000"]) == 1 and long.latest("s", ["0", "99999", "100000"]) == 2
+
+
 def plain(data):
     """The same in plain Python: groups, learned precedence, latest values."""
     groups: dict = {}
